@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,7 @@ def exact_topk(
     tile_rows: int = 2048,
     query_rows: int = 1024,
     shard_rows: int = 131_072,
+    part_rows: int = 65_536,
     fanin: int = 16,
 ) -> DataFrame:
     """The k best candidates of every query: query_id, rank (from 1), vec_id, score.
@@ -106,15 +108,18 @@ def exact_topk(
     once per query, with their best score. Ties go to the smaller id. Scores beyond 64 bits saturate. An empty table, or
     one without a usable query, gives no rows. Other columns of the tables are ignored.
     """
-    n = vectors.count()
+    n, q = vectors.count(), queries.count()
     shards = max(1, math.ceil(n / shard_rows), min(6, math.ceil(n / tile_rows)))
-    cand = tiles(vectors, vec_id, embedding, scale, tile_rows).withColumn("shard", F.pmod(F.xxhash64("tile", "dim"), F.lit(shards)))
-    blocks = tiles(queries, vec_id, embedding, scale, query_rows)
-    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    parts = max(1, math.ceil(q / part_rows))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    own = lambda k: F.pmod(F.xxhash64("tile", "dim"), F.lit(k))
+    # a grid of tasks: each has one shard of the candidates and one part of the queries, both bounded
+    cand = tiles(vectors, vec_id, embedding, scale, tile_rows).withColumn("shard", own(shards)).withColumn("part", every(parts))
+    blocks = tiles(queries, vec_id, embedding, scale, query_rows).withColumn("part", own(parts)).withColumn("shard", every(shards))
 
     def meet(key, left, right):
         shard = key[0]
-        parts = []
+        found = []
 
         def table(t):
             for n_, dim, ids, matrix in zip(t.column("n").to_pylist(), t.column("dim").to_pylist(), t.column("ids").to_pylist(), t.column("matrix").to_pylist()):
@@ -129,18 +134,17 @@ def exact_topk(
                     if len(run[0]) > 4 * k * len(q_ids):
                         run = _merge(run, k)
             at, ids, scores = _merge(run, k)
-            parts.append(pa.table({"query_id": q_ids[at], "vec_id": ids, "score": scores, "shard": np.full(len(at), shard.as_py(), np.int64)}))
+            found.append(pa.table({"query_id": q_ids[at], "vec_id": ids, "score": scores, "shard": np.full(len(at), shard.as_py(), np.int64)}))
         empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score", "shard")})
-        return pa.concat_tables([empty, *parts])
+        return pa.concat_tables([empty, *found])
 
-    hits = blocks.groupBy("shard").cogroup(cand.groupBy("shard")).applyInArrow(meet, HITS)
+    hits = blocks.groupBy("shard", "part").cogroup(cand.groupBy("shard", "part")).applyInArrow(meet, HITS)
     lists = shards
     while lists > 1:
         hits = hits.withColumn("shard", F.floor(F.col("shard") / fanin))
         lists = math.ceil(lists / fanin)
         if lists > 1:
             hits = _select(hits, k, "query_id", "shard")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _select(hits, k, "query_id").select("query_id", "rank", "vec_id", "score")
 
 
@@ -157,5 +161,6 @@ def _merge(run, k):
 
 
 def _select(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    hits = hits.groupBy(*by, "vec_id").agg(F.max("score").alias("score"))  # rows that repeat an id take one place
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("vec_id"))
     return hits.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)

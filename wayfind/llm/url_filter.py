@@ -93,7 +93,7 @@ def judge(
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / (F.col("all_l") - F.col("l"))))
         similar = (F.col("l") > 0) & (F.col("all_l") > F.col("l")) & (F.abs(F.col("b") / F.col("l") - rate) <= z * error)
         literal = ~F.col("_here").startswith("{")
-        to = F.when(similar, F.lit("{~}")).when(literal & (F.col("kids") > fanout), F.lit("{*}"))
+        to = F.when(literal & (F.col("kids") > fanout), F.lit("{*}")).when(similar, F.lit("{~}"))
         moves = branch.join(total, ["host", "_parent"]).select("host", "_parent", "_here", to.alias("_to")).where("_to is not null")
         tree = tree.join(moves, ["host", "_parent", "_here"], "left").withColumn(
             "_tpl",
