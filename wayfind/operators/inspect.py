@@ -87,8 +87,9 @@ def geohash_members(index: Index, geohash: str, neighbors: bool = True) -> DataF
 
 def get(index: Index, doc_id: str) -> DataFrame:
     """A document, its housenumbers sorted by their leading number."""
-    number = lambda e: F.regexp_extract(e["key"], r"^\d+", 0).cast("int")
-    entries = F.transform(F.array_sort(F.transform(F.map_entries("housenumbers"), lambda e: F.struct(number(e).alias("n"), e["key"].alias("key"), e["value"].alias("value")))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    number = lambda e: F.coalesce(F.regexp_extract(e["key"], r"^\d+", 0).try_cast("int"), F.lit(2**31 - 1))
+    order = lambda a, b: F.when(number(a) < number(b), -1).when(number(a) > number(b), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    entries = F.array_sort(F.map_entries("housenumbers"), order)
     return index.documents.where(F.col("doc_id") == doc_id).withColumn("housenumbers", entries)
 
 

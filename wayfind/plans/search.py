@@ -78,12 +78,12 @@ class Engine:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         return rows.join(state.select("query_id", "wanted", "matched"), "query_id").withColumn("rank", F.row_number().over(order))
 
-    def search(self, queries: DataFrame) -> DataFrame:
-        """The best results of each query: the first `limit` candidates, of which those under the least score are dropped."""
+    def search(self, queries: DataFrame, whole: bool = False) -> DataFrame:
+        """The best results of each query: the first `limit` candidates, of which those under the least score are dropped. whole: with all columns of documents and scores."""
         rows = self.candidates(queries).where("rank <= wanted").where(F.col("score") >= self.config.min_score)
-        return rows.select(*RESULT)
+        return rows if whole else rows.select(*RESULT)
 
-    def reverse(self, points: DataFrame) -> DataFrame:
+    def reverse(self, points: DataFrame, whole: bool = False) -> DataFrame:
         """The nearest documents to each point (query_id, lat, lon, limit, filters), from its cell and the cells around; from one ring more where these have none."""
         types = F.col("filters")["type"]
         check, only = retrieve.housenumber_checks(F.when(F.size(types) > 0, types))
@@ -100,7 +100,7 @@ class Engine:
         rows = rows.withColumns({"score": score, "label": F.get("labels", F.lit(0))}).join(p.select("query_id", "wanted"), "query_id")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         rows = rows.withColumn("rank", F.row_number().over(order)).where("rank <= wanted")
-        return rows.select("query_id", "rank", "doc_id", "label", "score", "distance", "housenumber", "d_type", "d_lat", "d_lon")
+        return rows if whole else rows.select("query_id", "rank", "doc_id", "label", "score", "distance", "housenumber", "d_type", "d_lat", "d_lon")
 
     def get(self, *ids: str) -> DataFrame:
         return self.index.documents.where(F.col("doc_id").isin(*ids))
