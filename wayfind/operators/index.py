@@ -93,14 +93,16 @@ class Index:
     geo_cells: DataFrame
     filters: DataFrame
 
-    def write(self, path: str, buckets: int | None = None) -> None:
-        """Parquet tables, each clustered by the key that it is looked up by."""
-        keys = {"documents": "doc_id", "geo_cells": "geohash", "filters": "name", "edge_ngrams": "prefix"}
+    def write(self, path: str, parts: int | None = None) -> None:
+        """Parquet tables, sorted by the key that each is looked up by. A second column splits ranges inside a key, so that a token of half of all documents fills many files; a token's postings are in order of boost."""
+        order = {
+            "documents": ["doc_id"], "postings": ["token", F.desc("boost")], "token_stats": ["token"], "pairs": ["token", "other"], "edge_ngrams": ["prefix", "token"],
+            "geo_cells": ["geohash", "doc_id"], "filters": ["name", "value", "doc_id"],
+        }
         for name in TABLES:
-            df, key = getattr(self, name), keys.get(name, "token")
-            df = df.repartitionByRange(buckets, key) if buckets else df.repartitionByRange(key)
-            df = df.sortWithinPartitions(key, F.desc("boost")) if name == "postings" else df.sortWithinPartitions(key)
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+            df, keys = getattr(self, name), order[name]
+            df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+            df.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:

@@ -543,6 +543,13 @@ def search_full(spark, sf_dir):
     return _search(spark, sf_dir, "true")
 
 
+@query()
+def search_batch(spark, sf_dir):
+    """A query for every place, in one batch."""
+    out = engine(spark, sf_dir).search(place_queries(spark, sf_dir))
+    return out.select(*COLUMNS[:4], rounded("score").alias("score"))
+
+
 @query()
 def search_candidates(spark, sf_dir):
     n = max(1, table(spark, sf_dir, "customer").count() // 40)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -23,14 +26,23 @@ class QueryTooLong(ValueError):
 
 
 def folder(spark: SparkSession) -> str:
-    """Where states are written: the shared checkpoint folder, or, in one process without one, a new local folder."""
+    """A new folder for states, deleted when the driver ends: in the shared checkpoint folder, or, in one process without one, a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="wayfind-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/wayfind-search-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/wayfind-search-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be over
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Engine:
