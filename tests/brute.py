@@ -80,7 +80,7 @@ class Brute:
         if keys:
             ds = set.intersection(*[set(self.post.get(k, ())) for k in keys])
             ds = {d for d in ds if self.ok(d) and (not geo or d in self.near)}
-            return sorted(ds, key=lambda d: (sum(self.post[k][d] for k in keys), d), reverse=True)[:cap]
+            return sorted(ds, key=lambda d: (round(sum(self.post[k][d] for k in keys), 12), d), reverse=True)[:cap]
         if geo:
             ds = sorted((d for d in self.near if self.ok(d)), reverse=True)
             return ds[:cap] if self.filters else ds
