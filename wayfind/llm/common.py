@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 #: Spark's rule for words, in Java syntax: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker takes apart at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,27 +36,54 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: For queries that run inside lean(): shuffle files go when a query ends, not when the driver happens to collect its
+#: garbage, and Python workers get their rows in batches of bounded bytes, however long texts are.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 @contextlib.contextmanager
-def shuffle_files_freed(spark: SparkSession):
-    """Queries that end inside free their shuffle files at once instead of when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def lean(spark: SparkSession):
+    before = {key: spark.conf.get(key, None) for key in LEAN}
+    for key, value in LEAN.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def tidy(run):
+    """A function for mapInArrow that, once its task is over, gives memory back before its worker waits for the next."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+#: Bytes of input for each file of a written table.
+FILE_BYTES = 64 << 20
+
+
+def file_count(docs: DataFrame) -> int:
+    """Files for a table made from docs: two for each core, or more as the input needs. Small files cost a process each to create on some file systems, and a task each to read."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(2**30, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))))
 
 
 class Scratch:
-    """Written tables that cut lineage, in the shared folder. What a later step has used up can be dropped; the rest goes when the driver's Python ends."""
+    """Written tables that cut lineage, in the shared folder. What a later step has used up can be dropped; the rest goes when the driver's Python ends. docs: what the tables are made from, which gives their number of files."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, docs: DataFrame | None = None):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/wayfind-{name}-{uuid.uuid4().hex}"
+        self.files = 2**30 if docs is None else file_count(docs)
         atexit.register(self._delete, self.root)
 
     def _delete(self, path: str) -> None:
@@ -62,10 +92,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", files: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        with shuffle_files_freed(self.spark):
-            df.write.option("compression", codec).parquet(path)
+        with lean(self.spark):
+            write = df.coalesce(min(files or self.files, self.files)).write
+            write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -32,7 +32,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     for i in range(1, rounds):
         if not before[0]:
             break
-        new = scratch.keep(small(oriented(large(now)).distinct()).distinct(), f"{name}-{i}")
+        # no step adds edges: files for a quarter of a million each
+        new = scratch.keep(small(oriented(large(now)).distinct()).distinct(), f"{name}-{i}", files=1 + before[0] // 250_000)
         scratch.drop(f"{name}-{i - 1}")
         now, after = new, state(new)
         if after == before:

@@ -16,6 +16,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfind.llm.common import tidy
+
 TILE = "tile long, n long, dim long, ids binary, matrix binary"
 HITS = "query_id long, vec_id long, score long, shard long"
 
@@ -51,7 +53,7 @@ def tiles(vectors: DataFrame, vec_id: str, embedding: str, scale: float, rows: i
                     own = np.asarray(ids.take(pa.array(at)).cast(pa.int64()))[good]
                     yield _pack(own, x[good], rows, int(dim))
 
-    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding).cast("array<double>")).mapInArrow(pack, TILE)
+    return vectors.select(F.col(vec_id).cast("long"), F.col(embedding).cast("array<double>")).mapInArrow(tidy(pack), TILE)
 
 
 def _best(query_ids, queries, ids, matrix, k):

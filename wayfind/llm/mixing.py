@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     the last. Rows that repeat are documents of their own. An empty table gives no rows. Columns other than doc_id, text
     and source are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing", docs)
     octave = F.floor(64 * F.log2(F.col("size") / exact)) + exact
     cls = F.when(F.col("size") <= exact, F.col("size")).otherwise(octave).cast("long")
     rows = docs.select("doc_id", "source", *row_key(), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h"))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rows = scratch.keep(rows, "rows")
     hist = scratch.keep(rows.groupBy("_s", "_n", "_class").agg(F.count("*").alias("docs"), F.sum("size").alias("words")), "histogram")
     named = hist.groupBy("_s", "_n").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(~F.col("_n"), F.col("_s")))
-    aim = scratch.keep(targets(named, weights, share, most), "targets")
+    aim = scratch.keep(targets(named, weights, share, most), "targets", files=4)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_class", ascending=False)
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as many times as it is copied."""
-    scratch = Scratch(docs.sparkSession, "mixed")
+    scratch = Scratch(docs.sparkSession, "mixed", docs)
     # equal rows are interchangeable: their copies are added up and dealt out again
     total = mix(docs, **options).groupBy("_k", "_t").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0")
     rows = carried(docs).join(scratch.keep(total, "copies"), ["_k", "_t"])

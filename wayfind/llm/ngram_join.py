@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Rolling, Scratch, WordHash, carried, hashed_words, mix, row_key, slices, uncarried
+from wayfind.llm.common import Rolling, Scratch, WordHash, carried, hashed_words, mix, row_key, slices, tidy, uncarried
 from wayfind.llm.components import components
 
 BASE = 0x2545F4914F6CDD1D
@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 7) -> Dat
             size = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes), size, lists], ["_k", "_t", "c", "grams", "bytes", "bands"])
 
-    return docs.select(*row_key(), "text").mapInArrow(run, "_k long, _t int, c binary, grams long, bytes long, bands array<long>")
+    return docs.select(*row_key(), "text").mapInArrow(tidy(run), "_k long, _t int, c binary, grams long, bytes long, bands array<long>")
 
 
 class Block:
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     are like no other and stay alone (class_id is their own id). A null id counts as smaller than all others and gives a
     null class_id. Rows that repeat are copies. An empty table gives no rows. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "ngrams")
+    scratch = Scratch(docs.sparkSession, "ngrams", docs)
     bands, rows = banding(threshold, recall)
     marks = scratch.keep(sketch(docs, n, bands, rows), "sketch")
     one = F.min(F.struct("_k", "_t", "bytes", "bands"))
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs but for near duplicates, of which the row with the least id (then hash of text) stays; of equal rows one."""
-    scratch = Scratch(docs.sparkSession, "unique")
+    scratch = Scratch(docs.sparkSession, "unique", docs)
     found = scratch.keep(near_duplicates(docs, **options), "classes")
     # texts without words have no links: each stays
     stays = found.where("n_links > 0").groupBy("root").agg(F.min(F.struct("_k", "_t")).alias("one"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Scratch, row_key, slices, uncarried
+from wayfind.llm.common import Scratch, row_key, slices, tidy, uncarried
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -65,7 +65,7 @@ def count_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, *map(pa.array, (n, chars, symbols, dups, _repeats(words), lines))], [*names, *COUNTS])
 
     kept = [f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]
-    return docs.mapInArrow(count, ", ".join(kept) + ", " + extra)
+    return docs.mapInArrow(tidy(count), ", ".join(kept) + ", " + extra)
 
 
 def features() -> dict[str, tuple[Column, float]]:
@@ -145,23 +145,23 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
         return F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))
 
     # medians and MADs
-    med = scratch.keep(rows.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n")), "medians")
+    med = scratch.keep(rows.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n")), "medians", files=2)
     dev = rows.join(med, "_g").select("_g", "_n", *[f"m{i}" for i in range(p)], *[F.abs(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(names)])
     mad = dev.groupBy("_g").agg(F.first("_n").alias("_n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(f"d{i}", 0.5).alias(f"s{i}") for i in range(p)])
     cell = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))) if i == j else F.lit(0.0)
     est = F.array(*[F.col(f"m{i}") for i in range(p)], *[cell(i, j) for i in range(p) for j in range(p)])
-    now = scratch.keep(mad.select("_g", "_n", est.alias("est")), "start")
+    now = scratch.keep(mad.select("_g", "_n", est.alias("est")), "start", files=2)
     for step in range(steps):
         # distances fall into 32 bins an octave: the h-th is known up to two hundredths of itself
         near = rows.join(now, "_g").withColumn("_bin", F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))))
         bins = near.groupBy("_g", "_bin").agg(F.count("*").alias("k"), F.first("_n").alias("_n"))
         below = F.sum("k").over(Window.partitionBy("_g").orderBy("_bin")) - F.col("k")
         cut = bins.withColumn("_b", below).where(F.col("_b") < F.ceil(share * F.col("_n"))).groupBy("_g").agg(F.max("_bin").alias("_cut"))
-        cut = scratch.keep(cut.join(now, "_g"), f"cut{step}")
+        cut = scratch.keep(cut.join(now, "_g"), f"cut{step}", files=2)
         inside = rows.join(cut, "_g").where(F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))) <= F.col("_cut"))
         sums = [F.sum(c) for c in names] + [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)]
         moments = inside.groupBy("_g").agg(F.array(*sums).alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"))
-        now = scratch.keep(moments.select("_g", "_n", inverse("s", "k").alias("est")), f"step{step}")
+        now = scratch.keep(moments.select("_g", "_n", inverse("s", "k").alias("est")), f"step{step}", files=2)
     out = rows.join(now, "_g").withColumn("distance2", F.when(F.col("_n") >= least, distance(F.col("est"))))
     return out.drop("_g", "_n", "est")
 
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
     languages and sources group like others; rows that repeat count each; an empty table gives no rows; other columns are
     ignored. _k and _t name a row by its id and a hash of its text, language and source.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = Scratch(docs.sparkSession, "quality", docs)
     counted = count_texts(docs.select("doc_id", "lang", "source", row_key()[0], _named(), "text"))
     n, r = F.col("n_words"), F.col("n_repeat_words")
     counted = scratch.keep(counted.withColumn("base_failed", (n < min_words) | (100 * r > max_repeat_percent * n)), "counts")
@@ -195,7 +195,7 @@ def _named() -> Column:
 
 def good_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep."""
-    scratch = Scratch(docs.sparkSession, "good")
+    scratch = Scratch(docs.sparkSession, "good", docs)
     gone = scratch.keep(judge(docs, **options).where("not kept").select("_k", "_t").distinct(), "rejected")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), row_key()[0], _named()).join(gone, ["_k", "_t"], "left_anti")
     return rows.select(*uncarried(rows, docs))

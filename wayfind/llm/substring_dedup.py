@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Rolling, Scratch, WordHash, hashed_words, row_key, slices
+from wayfind.llm.common import Rolling, Scratch, WordHash, hashed_words, row_key, slices, tidy
 
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -69,7 +69,7 @@ def runs(docs: DataFrame, window: int, k: int) -> DataFrame:
                 }
             )
 
-    return docs.select(*row_key(), "text").mapInArrow(find, "_k long, _t int, start long, windows long, anchor long, region long")
+    return docs.select(*row_key(), "text").mapInArrow(tidy(find), "_k long, _t int, start long, windows long, anchor long, region long")
 
 
 def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -101,12 +101,12 @@ def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     key = row_key()
     texts = docs.select(*key, "text").join(wanted, ["_k", "_t"]).select("_k", "_t", "text", "runs")
-    return texts.mapInArrow(emit, "w1 long, w2 long, _k long, _t int, at long, own boolean")
+    return texts.mapInArrow(tidy(emit), "w1 long, w2 long, _k long, _t int, at long, own boolean")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """_k, _t and spans of every document with a repeated window: spans holds start (in words) and windows, the number of consecutive repeated windows from there."""
-    scratch = Scratch(docs.sparkSession, "substrings")
+    scratch = Scratch(docs.sparkSession, "substrings", docs)
     found = scratch.keep(runs(docs, window, k), "runs")
     nodes = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("region") != F.max("region")).alias("branching")).where("n > 1").drop("n")
     nodes = scratch.keep(nodes, "nodes")
@@ -156,4 +156,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
 
     key = row_key()
     rows = docs.select(F.col("doc_id").cast("long"), *key, "text").join(spans, ["_k", "_t"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept string")

@@ -78,7 +78,7 @@ def judge(
         seen = rows.select("host", "_seg", F.lit(1).alias("n"), F.lit(None).cast("int").alias("bad")).unionByName(lab.select("host", lab_seg.alias("_seg"), F.lit(0).alias("n"), "bad"))
     leaf = seen.groupBy("host", "_seg").agg(F.sum("n").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     # _seg stays the join key; _tpl is rewritten level by level: [0] is the empty segment before the first slash
-    scratch = Scratch(pages.sparkSession, "urls")
+    scratch = Scratch(pages.sparkSession, "urls", pages)
     leaf = scratch.keep(leaf, "leaves")
     tree = leaf.withColumn("_tpl", F.col("_seg"))
     for level in range(1, depth):

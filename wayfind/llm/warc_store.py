@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Scratch, shuffle_files_freed
+from wayfind.llm.common import Scratch, file_count, lean
 
 EOL = "\r\n"
 
@@ -47,10 +47,10 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     )
     headers = chosen.withColumn("type", kind).select("page_id", "digest", header.alias("header"))
     spark = pages.sparkSession
-    with shuffle_files_freed(spark):
-        headers.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
+    with lean(spark):
+        headers.coalesce(file_count(pages)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
         stored = pages.select(body.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
-        stored.groupBy("digest").agg(F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+        stored.groupBy("digest").agg(F.first("payload").alias("payload")).coalesce(file_count(pages)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
