@@ -255,3 +255,17 @@ def test_pieces_keep_ids(docs):
 def test_kept_hash_is_that_of_utf8(docs):
     r = substring_dedup.remove_repeats(docs).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert r.h == hashlib.sha256(r.kept.encode()).hexdigest()
+
+
+def test_word_tokenizer_on_random_strings():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, words = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path(), most=300)
+    letters = [*"abcXYZéÉßñ×÷…—. ,.\n\t'sTm!?<|> ́ǅʰ日0123½İΣςक़", "'s ", "'LL ", " . ", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    rng = random.Random(1)
+    for _ in range(600):
+        texts = ["".join(rng.choice(letters[: rng.choice([6, 12, 20, len(letters)])]) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        got = [list(memoryview(x).cast("I")) for x in words.ids([x.encode() for x in texts], b"")]
+        assert got == [tok.encode(x, add_special_tokens=False).ids for x in texts]

@@ -9,8 +9,10 @@ lengths at capacity 2048. Pieces get their places from their rank within their l
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -18,42 +20,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Scratch, slices
+from wayfind.llm.common import Scratch, slices, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Token ids of a text from those of its words. Exact where the tokenizer neither joins nor looks across ASCII white space, as word_bpe_49k does not."""
+    """Token ids of a text from those of its words, which are kept.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Exact where the tokenizer neither joins nor looks across ASCII white space, lower-cases, and parts letters from
+    punctuation, as word_bpe_49k does. Words of letters alone are one pre-token each and are encoded many at a time; the
+    ids of one end with a token that has the end-of-word suffix.
+    """
+
+    #: What a byte of UTF-8 may be: a for letters (ASCII, and all of U+00C0 to U+027F but NO_LETTER), b for other non-ASCII.
+    KIND = bytes(97 if chr(i).isascii() and chr(i).isalpha() or 0x80 <= i < 0xC0 or 0xC3 <= i < 0xCA else 98 if i > 127 else i if i in b".," or i <= 32 else 33 for i in range(256))
+    NO_LETTER = ("×".encode(), "÷".encode(), "İ".encode())  # the last has a mark of its own in lower case
+    #: A full stop or comma after a letter and before white space is a pre-token of its own.
+    STOPS = (b". ", b", ", b".\n")
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tok = Tokenizer.from_file(path)
+        self.one, self.many = tok.encode, tok.encode_batch_fast
+        self.ends = np.zeros(tok.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        # words seen lately, and those before them: common words stay, rare ones go after a while
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
+    def _learn(self, words: list[bytes]) -> None:
+        known, others = self.known, []
+        alpha = [w for w in words if w.isalpha()]  # ASCII letters
+        parted: list[tuple[bytes, bytes, bytes]] = []
+        for w in words if len(alpha) < len(words) else ():
+            if w.isalpha():
+                continue
+            if _letters(w):
+                alpha.append(w)
+                continue
+            head = w.rstrip(b".,;:!?")
+            if head and len(head) < len(w) and _letters(head):
+                tail = w[len(head) :]
+                parted.append((w, head, tail))
+                if head not in known:
+                    alpha.append(head)
+                if tail not in known:
+                    others.append(tail)
+            else:
+                others.append(w)
+        for at in range(0, len(alpha), 5_000):
+            part = alpha[at : at + 5_000]
+            ids = np.asarray(self.one(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+            else:
+                others += part
+        for at in range(0, len(others), 5_000):
+            part = others[at : at + 5_000]
+            for w, e in zip(part, self.many([w.decode() for w in part], add_special_tokens=False)):
+                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for w, head, tail in parted:
+            known[w] = known[head] + known[tail]
+
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words, stops apart where all of a text's stops may be."""
+        if b"<|" not in text:  # where a special token's string may be, letters stay as they are
+            text = text.lower()  # ASCII letters alone
+        kinds = text.translate(self.KIND)
+        if b"b" not in kinds and not any(x in text for x in self.NO_LETTER):
+            for stop in self.STOPS:
+                if (n := kinds.count(stop)) and kinds.count(b"a" + stop) == n:
+                    text = text.replace(stop, b" " + stop)
+        return text.split()
+
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, then `end`."""
-        words = [x.split() for x in texts]
+        words = [self._split(x) for x in texts]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
         known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({w for x in words for w in x})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in x]) + end for x in words]
+        found = [list(map(known.get, x)) for x in words]
+        holes = [_places(got) for got in found]
+        new = {x[i] for x, own in zip(words, holes) for i in own}
+        if new:
+            older = self.older
+            known.update((w, older[w]) for w in new & older.keys())
+            self._learn(list(new - older.keys()))
+            for x, got, own in zip(words, found, holes):
+                for i in own:
+                    got[i] = known[x[i]]
+        return [b"".join(got) + end for got in found]
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters alone, once composed and lower-cased."""
+    return word.isalpha() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
+
+def _places(items: list) -> list[int]:
+    """Where None is."""
+    out, at = [], -1
+    with contextlib.suppress(ValueError):
+        while True:
+            at = items.index(None, at + 1)
+            out.append(at)
+    return out
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One for each Python worker, whose words outlive its tasks."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if kept) of every piece of every row: ids of its text, then end_id, cut after each `capacity` tokens."""
 
     def cut(batches):
-        tok = WordTokenizer(tokenizer)
+        tok = tokenizer_at(tokenizer)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for part, texts in slices(batches, "text"):
             rows = []
@@ -66,7 +160,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
 
     schema = PIECES + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(cut), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -156,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 200_000) ->
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(seq), pa.array(off)], [n for n in batch.schema.names if n != "_rank"] + ["sequence_id", "offset"])
 
     fields = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -166,5 +260,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     table gives no rows. Columns other than doc_id and text are ignored. Pieces of one length are interchangeable, so
     which of them shares a sequence with which depends only on ids and contents.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = Scratch(docs.sparkSession, "packing", docs)
     return pack(scratch.keep(tokenize_pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces"), capacity)
