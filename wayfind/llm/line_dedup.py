@@ -31,12 +31,15 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sc
     A key of at least `least_chars` code points in at least `least_docs` documents keeps its lines only in the
     document of the largest id. Keys meet as 128 bits of hash.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    scratch = scratch or Scratch(docs.sparkSession, "lines", docs)
     key = line_key(F.col("line"))
     long_lines = docs.select(*row_key(), lines_of(F.col("text")).alias("lines")).select("_k", "_t", F.posexplode("lines").alias("pos", "line")).where(F.length(key) >= least_chars)
     rows = long_lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2"), "_k", "_t", "pos")
+    # finding the ranges reads the rows once more: written, they are read and not taken from the texts again
+    rows = scratch.keep(rows, "lines", "none")
     rows = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("_k").desc()).sortWithinPartitions("h1", "h2", F.desc("_k"), "pos")
     rows = scratch.keep(rows, "occurrences")
+    scratch.drop("lines")
     common = rows.groupBy("h1", "h2").agg(F.count_distinct("_k").alias("docs"), F.max("_k").alias("owner")).where(F.col("docs") >= least_docs)
     gone = rows.join(common, ["h1", "h2"]).where(F.col("_k") != F.col("owner"))
     words = gone.groupBy("_k", "_t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
