@@ -120,7 +120,6 @@ class Chain:
         s = s.withColumn("_a", F.when(F.col("done"), F.array().cast(ATTEMPTS)).otherwise(attempts))
         if s.where("size(_a) > 0").isEmpty():
             return s.drop("_a").withColumn("_tried", F.lit(0)) if replace else s.drop("_a")
-        s = self.kept(s)
         s = s.join(self.answers(s.where("size(_a) > 0")), "query_id", "left")
         start = F.struct(F.col("bucket").alias("bucket"), F.col("matched").alias("matched"), F.lit(0).alias("tried"))
 
@@ -270,7 +269,6 @@ class Chain:
         s = s.withColumn(tokens, F.when(here, by_length).otherwise(F.col(tokens))).withColumn("_fz", here)
         if s.where("_fz").isEmpty():
             return s.drop("_fz")
-        s = self.kept(s)
         every = F.concat("keys", F.filter(names(F.col("common")), lambda t: ~F.array_contains("keys", t))) if include_common else F.col("keys")
         rows = s.where("_fz").select("query_id", "aliased", every.alias("all"), F.posexplode(tokens).alias("i", "t")).where(~is_digits(F.col("t.tok")))
         rows = rows.select("query_id", "aliased", "i", F.array_remove("all", F.col("t.tok")).alias("with"), F.posexplode(fuzzy_neighbors(F.col("t.tok"), c)).alias("j", "cand"))
@@ -286,7 +284,6 @@ class Chain:
         s = s.withColumn("_here", here)
         if s.where("_here").isEmpty():
             return s.drop("_here")
-        s = self.kept(s)
         every = s.where("_here").select("query_id", F.array_distinct(F.concat("meaningful", "common")).alias("_e"))
         words = every.select("query_id", "_e", F.explode("_e").alias("a"))
         both = words.select("query_id", F.col("a.tok").alias("token"), F.explode("_e").alias("b")).select("query_id", "token", F.col("b.tok").alias("other")).distinct()

@@ -13,25 +13,18 @@ from wayfind.plans.search import Engine
 
 def match_option(key: str, query: str) -> tuple[str, str | None]:
     """`KEY value` or `KEY=value`, taken out of the query."""
-    found = re.search(rf"{key}[= ][^ ]*", query)
-    if not found:
-        return query.strip(), None
-    return query.replace(found[0], "").strip(), found[0].replace(key, "").strip(" =")
+    if found := re.search(rf"{key}[= ]([^ ]*)", query):
+        return (query[: found.start()] + query[found.end() :]).strip(), found[1].strip(" =")
+    return query.strip(), None
 
 
 def parse_filters(query: str, config: EngineConfig = EngineConfig()) -> tuple[str, dict]:
     """Filters by their upper-case names, repeated or with values parted by |; blanks are dropped, a single value stays a string."""
     out: dict = {}
     for name in config.filters:
-        values, rest = [], query
-        while name.upper() in rest:
-            shorter, value = match_option(name.upper(), rest)
-            if shorter == rest:
-                break
-            rest = shorter
-            values += [v.strip() for v in (value or "").split("|") if v.strip()]
-        if values:
-            query = rest
+        option = re.compile(rf"{name.upper()}[= ]([^ ]*)")
+        if values := [v.strip() for found in option.findall(query) for v in found.split("|") if v.strip()]:
+            query = option.sub("", query).strip()
             out[name] = values if len(values) > 1 else values[0]
     return query, out
 
