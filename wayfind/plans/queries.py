@@ -471,13 +471,16 @@ def points(spark, sf_dir, filters=None, off=0.0001, limit=3):
     return p.select(F.col("doc_id").cast("long").alias("query_id"), (F.col("lat") + off).alias("lat"), (F.col("lon") + off).alias("lon"), F.lit(limit).alias("limit"), f.alias("filters"))
 
 
-def _reverse_sql(off: float, candidates: str, numbers: bool, only: bool = False, where: str = "", ring: int = 1) -> str:
-    offsets = ", ".join(str(i) for i in range(-ring, ring + 1))
-    own = f"SELECT doc_id, type, lat, lon, NULL::VARCHAR AS number, 1 AS o FROM places {where}" if not only else ""
-    each = " UNION ALL ".join(x for x in (own, "SELECT h.doc_id, p.type, h.lat, h.lon, number, 0 AS o FROM hns h JOIN places p USING (doc_id)" if numbers else "") if x)
+def _reverse_sql(off: float, numbers: bool, only: bool = False, where: str = "") -> str:
+    """numbers: whether housenumbers count; only: whether they alone do; where: the filter. The second ring is for points without a document in the first."""
+    own = f"SELECT doc_id, lat, lon, NULL::VARCHAR AS number, 1 AS o FROM places {where}"
+    each = "SELECT doc_id, lat, lon, number, 0 AS o FROM hns"
+    spots = each if only else f"{own} UNION ALL {each}" if numbers else own
+    ring = "SELECT query_id, x + dx AS x, y + dy AS y FROM b, (SELECT unnest({0}) AS dx), (SELECT unnest({0}) AS dy)"
     return f"""WITH {PLACES_SQL}, {CELLS_SQL}, q AS (SELECT key AS query_id, lat + {off}::DOUBLE AS qlat, lon + {off}::DOUBLE AS qlon FROM places WHERE key % 11 = 0),
-b AS (SELECT query_id, {BINS_SQL.format('qlat', 'qlon')} FROM q), n AS (SELECT query_id, x + dx AS x, y + dy AS y FROM b, (SELECT unnest([{offsets}]) AS dx), (SELECT unnest([{offsets}]) AS dy)),
-m AS (SELECT DISTINCT query_id, doc_id FROM n JOIN c USING (x, y)), e AS ({each}),
+b AS (SELECT query_id, {BINS_SQL.format('qlat', 'qlon')} FROM q), n1 AS ({ring.format('[-1, 0, 1]')}), n2 AS ({ring.format('[-2, -1, 0, 1, 2]')}),
+ok AS (SELECT DISTINCT doc_id FROM {'hns' if only else f'places {where}'}), m1 AS (SELECT DISTINCT query_id, doc_id FROM n1 JOIN c USING (x, y) JOIN ok USING (doc_id)),
+m AS (SELECT * FROM m1 UNION SELECT query_id, doc_id FROM n2 JOIN c USING (x, y) JOIN ok USING (doc_id) WHERE query_id NOT IN (SELECT query_id FROM m1)), e AS ({spots}),
 d AS (SELECT query_id, e.doc_id, number, o, {HAVERSINE.format('e.lat', 'e.lon', 'qlat', 'qlon')} AS km FROM m JOIN q USING (query_id) JOIN e USING (doc_id)),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY km, o, CAST(number AS INTEGER)) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN km > 100 THEN 0.0 ELSE exp(-pow(km / 50, 2)) END DESC, doc_id) AS rank FROM f)
@@ -489,27 +492,27 @@ def _reverse(spark, sf_dir, filters, off, numbers):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("distance", 3).alias("distance"), *(["housenumber"] if numbers else []))
 
 
-@query(_reverse_sql(0.0001, "", True))
+@query(_reverse_sql(0.0001, True))
 def reverse_housenumber(spark, sf_dir):
     return _reverse(spark, sf_dir, None, 0.0001, True)
 
 
-@query(_reverse_sql(0.0001, "", False, where="WHERE type = 'building'"))
+@query(_reverse_sql(0.0001, False, where="WHERE type = 'building'"))
 def reverse_filtered(spark, sf_dir):
     return _reverse(spark, sf_dir, {"type": ["building"]}, 0.0001, False)
 
 
-@query(_reverse_sql(0.0001, "", True, only=True))
+@query(_reverse_sql(0.0001, True, only=True))
 def reverse_only_housenumber(spark, sf_dir):
     return _reverse(spark, sf_dir, {"type": ["housenumber"]}, 0.0001, True)
 
 
-@query()
+@query(_reverse_sql(0.0035, True))
 def reverse_second_ring(spark, sf_dir):
     return _reverse(spark, sf_dir, None, 0.0035, True)
 
 
-@query(_reverse_sql(0.00005, "", False, where="WHERE type IN ('building', 'machinery', 'household', 'automobile', 'furniture')"))
+@query(_reverse_sql(0.00005, False, where="WHERE type IN ('building', 'machinery', 'household', 'automobile', 'furniture')"))
 def reverse_nearest(spark, sf_dir):
     return _reverse(spark, sf_dir, {"type": ["building", "machinery", "household", "automobile", "furniture"]}, 0.00005, False)
 
