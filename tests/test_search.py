@@ -4,7 +4,7 @@ import json
 from dataclasses import replace
 
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 from brute import Brute
 from wayfind.config import EngineConfig

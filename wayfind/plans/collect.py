@@ -41,6 +41,7 @@ class Chain:
     def __init__(self, index: Index, config: EngineConfig, keep):
         self.index, self.config, self.keep, self.step = index, config, keep, 0
         self.close: DataFrame | None = None
+        self.most = config.bucket_max
 
     def kept(self, df: DataFrame) -> DataFrame:
         self.step += 1
@@ -59,6 +60,7 @@ class Chain:
         )
         toks = analyze(F.col("q"), c)
         q = self.kept(q.withColumn("_t", toks))
+        self.most = max(c.bucket_max, q.agg(F.max("wanted")).first()[0] or 0)
         near = self.kept(retrieve.near(self.index, q, c))
         self.close = near
         flat = q.select("query_id", F.size("_t").alias("_n"), F.posexplode("_t").alias("i", "t")).select("query_id", "_n", "i", F.col("t.tok").alias("token"), "t.kind")
@@ -108,7 +110,7 @@ class Chain:
         """query_id and _r, the answered attempts in order: toks, ids by rank."""
         cap = F.greatest(F.col("wanted"), F.lit(self.config.bucket_max))
         a = s.select("query_id", "fl", cap.alias("cap"), F.posexplode("_a").alias("no", "a")).select("query_id", "fl", "cap", "no", "a.toks", "a.geo")
-        hits = retrieve.intersect(self.index, a.where("size(toks) > 0"), self.close).unionByName(retrieve.without_tokens(self.index, a.where("size(toks) = 0"), self.close))
+        hits = retrieve.intersect(self.index, a.where("size(toks) > 0"), self.close, self.most).unionByName(retrieve.without_tokens(self.index, a.where("size(toks) = 0"), self.close))
         ids = hits.groupBy("query_id", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
         rows = a.select("query_id", "no", "toks").join(ids, ["query_id", "no"], "left")
         entry = F.struct("no", "toks", F.coalesce("ids", F.array().cast(STRINGS)).alias("ids"))
