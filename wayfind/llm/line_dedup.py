@@ -41,6 +41,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sc
     rows = scratch.keep(rows, "occurrences")
     scratch.drop("lines")
     common = rows.groupBy("h1", "h2").agg(F.count_distinct("_k").alias("docs"), F.max("_k").alias("owner")).where(F.col("docs") >= least_docs)
+    # written, so that both sides of the join are plain shuffles, whose hot lines can be split
+    common = scratch.keep(common, "common")
     gone = rows.join(common, ["h1", "h2"]).where(F.col("_k") != F.col("owner"))
     words = gone.groupBy("_k", "_t", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("_k", "_t").agg(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits"))).alias("keep"))
