@@ -119,12 +119,13 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     wanted = scratch.keep(regions.select("one._k", "one._t", run.alias("run")).groupBy("_k", "_t").agg(F.collect_list("run").alias("runs")), "wanted")
     rows = scratch.keep(edges(docs, wanted, window), "edges")
     again = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("w1", "w2")
+    again = scratch.keep(again, "again")  # both sides of the join are then plain shuffles, whose hot windows can be split
     single = rows.where("own").join(again, ["w1", "w2"]).select("_k", "_t", F.col("at").alias("start"), F.lit(1).cast("long").alias("windows"))
     whole = paths.where("not branching").select("_k", "_t", "start", "windows")
     many = branching.join(regions.where("n > 1").select("anchor", "region"), ["anchor", "region"]).select("_k", "_t", "start", "windows")
     spans = whole.unionByName(many).unionByName(single).groupBy("_k", "_t").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     spans = scratch.keep(spans, "spans")
-    scratch.drop("paths", "regions", "wanted", "edges")
+    scratch.drop("paths", "regions", "wanted", "edges", "again")
     return spans
 
 
