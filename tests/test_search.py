@@ -171,5 +171,5 @@ def test_shell(small):
     assert [h.key for h in shell.run("GET 8").first().housenumbers] == ["3", "8"]
     assert shell.run("INDEX 1").where("token = 'lilas'").first().rank == 1
     assert shell.run("DBINFO")["documents"] == 10 and shell.run("CONFIG min_score") == 0.1
-    assert shell.run("EXPLAIN rue des lilas").first().doc_id == "1" and shell.run("BUCKET monnaie").count() == 4
+    assert shell.run("EXPLAIN rue des lilas").first().doc_id == "1" and shell.run("BUCKET monnaie").count() == 3
     assert shell.run("REVERSE 48.86 2.34 LIMIT 2").first().doc_id == "5"
