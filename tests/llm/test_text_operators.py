@@ -104,6 +104,28 @@ def test_quality_outliers(spark):
     assert all(kept[i] == (i % 7 != 0) for i in kept)
 
 
+def plain_and_junk(rng, ids, lang, source):
+    rows = []
+    for n, i in enumerate(ids):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(40, 400))]
+        rows.append((i, " ".join(x + "%%$#" if n % 7 == 0 else x for x in w), lang, source))
+    return rows, {i for n, i in enumerate(ids) if n % 7 == 0}
+
+
+def test_quality_outliers_of_small_groups(spark):
+    """A small source is judged by its language, a small language by the whole table, and a small table too."""
+    import random
+
+    rng = random.Random(2)
+    parts = [plain_and_junk(rng, range(0, 600), "en", "s"), plain_and_junk(rng, range(600, 660), "en", "t"), plain_and_junk(rng, range(660, 810), None, "s"), plain_and_junk(rng, range(810, 811), "xx", None)]
+    schema = "doc_id long, text string, lang string, source string"
+    for some in (parts, parts[2:3]):
+        rows, junk = [r for p, _ in some for r in p], set().union(*[j for _, j in some])
+        out = quality_rules.judge(spark.createDataFrame(rows, schema)).collect()
+        assert {r.doc_id for r in out} == {r[0] for r in rows} and all(r.distance2 is not None for r in out)
+        assert {r.doc_id for r in out if not r.kept} == junk
+
+
 def test_chi2():
     assert abs(quality_rules.chi2_cdf(9.487729, 4) - 0.95) < 1e-6
     assert abs(quality_rules.chi2_quantile(0.99, 3) - 11.344867) < 1e-5

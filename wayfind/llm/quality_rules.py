@@ -102,19 +102,21 @@ def chi2_quantile(q: float, p: int) -> float:
 
 
 def _group(rows: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
-    """_g of each combination of by: itself if it has `least` rows, else its first column's small combinations together, else all small ones."""
+    """_g and _in of each combination of by. _g: what its rows are judged by, the combination itself if it has `least` rows, else all rows that share
+    its first columns, as many of them as give `least` rows, else all rows of the table. _in: every group in use whose estimate its rows take part in."""
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    named = lambda *cs: F.to_json(F.array(*[F.col(c).cast("string") for c in cs]))
-    sizes = sizes.withColumn("_g", F.when(F.col("_n") >= least, named(*by)))
-    for keys in (by[:1], ()):
-        small = F.sum(F.when(F.col("_g").isNull(), F.col("_n"))).over(Window.partitionBy(*keys))
-        name = named(*keys) if keys else F.lit("[]")
-        sizes = sizes.withColumn("_g", F.coalesce("_g", F.when((small >= least) | F.lit(not keys), name)))
-    return sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_g")
+    levels = [by[:i] for i in range(len(by), -1, -1)]
+    name = lambda keys: F.to_json(F.array(*[F.col(c).cast("string") for c in keys])) if keys else F.lit("[]")
+    over = lambda c, keys: c.over(Window.partitionBy(*keys))
+    sizes = sizes.withColumns({f"_n{len(keys)}": over(F.sum("_n"), keys) for keys in levels})
+    sizes = sizes.withColumn("_g", F.coalesce(*[F.when(F.col(f"_n{len(keys)}") >= least, name(keys)) for keys in levels], name(())))
+    used = [F.when(over(F.max(F.col("_g") == name(keys)), keys), name(keys)) for keys in levels]
+    sizes = sizes.withColumns({f"_u{i}": c for i, c in enumerate(used)})
+    return sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_g", F.array_compact(F.array(*[f"_u{i}" for i in range(len(used))])).alias("_in"))
 
 
 def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str, ...], scratch: Scratch, share: float = 0.75, steps: int = 4, least: int = 200) -> DataFrame:
-    """rows with distance2: the squared Mahalanobis distance from the MCD estimate of their group; null in a group of under `least` rows.
+    """rows with distance2: the squared Mahalanobis distance from the MCD estimate of their group, or of a wider one where it has under `least` rows.
 
     columns: names with noise floors, whose squares are added to the variances: a statistic that is nearly always the
     same would else make every deviation an outlier. share: h as a part of the group.
@@ -122,7 +124,8 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
     names, p = list(columns), len(columns)
     groups = _group(rows, by, least)
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    rows = scratch.keep(rows.join(groups, same).select(*rows.columns, "_g"), "grouped")
+    rows = scratch.keep(rows.join(groups, same).select(*rows.columns, "_g", "_in"), "grouped")
+    fit = rows.select(F.explode("_in").alias("_g"), *names)
     floor = np.diag([columns[c] ** 2 for c in names])
     q = chi2_quantile(share, p)
     correction = share / chi2_cdf(q, p + 2)
@@ -145,25 +148,25 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
         return F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))
 
     # medians and MADs
-    med = scratch.keep(rows.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n")), "medians", files=2)
-    dev = rows.join(med, "_g").select("_g", "_n", *[f"m{i}" for i in range(p)], *[F.abs(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(names)])
+    med = scratch.keep(fit.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n")), "medians", files=2)
+    dev = fit.join(med, "_g").select("_g", "_n", *[f"m{i}" for i in range(p)], *[F.abs(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(names)])
     mad = dev.groupBy("_g").agg(F.first("_n").alias("_n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(f"d{i}", 0.5).alias(f"s{i}") for i in range(p)])
     cell = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))) if i == j else F.lit(0.0)
     est = F.array(*[F.col(f"m{i}") for i in range(p)], *[cell(i, j) for i in range(p) for j in range(p)])
     now = scratch.keep(mad.select("_g", "_n", est.alias("est")), "start", files=2)
     for step in range(steps):
         # distances fall into 32 bins an octave: the h-th is known up to two hundredths of itself
-        near = rows.join(now, "_g").withColumn("_bin", F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))))
+        near = fit.join(now, "_g").withColumn("_bin", F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))))
         bins = near.groupBy("_g", "_bin").agg(F.count("*").alias("k"), F.first("_n").alias("_n"))
         below = F.sum("k").over(Window.partitionBy("_g").orderBy("_bin")) - F.col("k")
         cut = bins.withColumn("_b", below).where(F.col("_b") < F.ceil(share * F.col("_n"))).groupBy("_g").agg(F.max("_bin").alias("_cut"))
         cut = scratch.keep(cut.join(now, "_g"), f"cut{step}", files=2)
-        inside = rows.join(cut, "_g").where(F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))) <= F.col("_cut"))
+        inside = fit.join(cut, "_g").where(F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))) <= F.col("_cut"))
         sums = [F.sum(c) for c in names] + [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)]
         moments = inside.groupBy("_g").agg(F.array(*sums).alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"))
         now = scratch.keep(moments.select("_g", "_n", inverse("s", "k").alias("est")), f"step{step}", files=2)
-    out = rows.join(now, "_g").withColumn("distance2", F.when(F.col("_n") >= least, distance(F.col("est"))))
-    return out.drop("_g", "_n", "est")
+    out = rows.join(now, "_g").withColumn("distance2", distance(F.col("est")))
+    return out.drop("_g", "_in", "_n", "est")
 
 
 def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min_words: int = 10, max_repeat_percent: int = 20, least: int = 200) -> DataFrame:
@@ -171,8 +174,8 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
 
     base_failed: under min_words words, or over max_repeat_percent % of them in repeated windows. Of the others, those
     are rejected whose squared distance is over `extra` squared times the chi-square quantile of keep_share; the
-    estimates come from all that pass the base rule. Groups of under `least` rows are judged with their language's small
-    groups, and these, if few, with all such; fewer than `least` rows in all reject nothing. Null texts are empty, null
+    estimates come from all that pass the base rule. Groups of under `least` rows are judged by the
+    estimate over all rows of their language, and those of languages of under `least` rows by that over all rows. Null texts are empty, null
     languages and sources group like others; rows that repeat count each; an empty table gives no rows; other columns are
     ignored. _k and _t name a row by its id and a hash of its text, language and source.
     """
@@ -184,7 +187,7 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
     passed = counted.where("not base_failed").select("*", *[c.alias(name) for name, (c, _) in spec.items()])
     far = robust_distances(passed, {name: f for name, (_, f) in spec.items()}, ("lang", "source"), scratch, least=least).drop(*spec)
     limit = extra**2 * chi2_quantile(keep_share, len(spec))
-    far = far.withColumn("kept", F.coalesce(F.col("distance2") <= limit, F.lit(True)))
+    far = far.withColumn("kept", F.col("distance2") <= limit)
     failed = counted.where("base_failed").withColumns({"distance2": F.lit(None).cast("double"), "kept": F.lit(False)})
     return far.unionByName(failed)
 
