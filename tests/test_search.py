@@ -8,6 +8,7 @@ from paths import SMALL
 
 from brute import Brute
 from wayfind.config import EngineConfig
+from wayfind.plans import queries as registered
 from wayfind.plans.places import config_for, place_queries, places
 from wayfind.plans.search import Engine, QueryTooLong
 from wayfind.sources.readers import read_stdin
@@ -50,6 +51,24 @@ def test_places(spark):
     assert sum(map(bool, got.values())) > 0.8 * len(got)
 
 
+def of_brute(spark, queries):
+    """query_id, rank, doc_id, label and score of each query's results over the places."""
+    docs = places(spark, SMALL).collect()
+    brute = Brute([plain(d.asDict()) for d in docs], config_for(len(docs)))
+    out = []
+    for q in queries.collect():
+        found = brute(**{k: q[k] for k in ("q", "lat", "lon", "limit", "autocomplete", "fuzzy", "filters")})
+        out += [(q.query_id, i + 1, d, label, round(s, 8)) for i, (d, s, label) in enumerate(found)]
+    return out
+
+
+@pytest.mark.parametrize("name,kind", [("search_only_commons", 6)])
+def test_registered_kinds(spark, name, kind):
+    got = [(r.query_id, r.rank, r.doc_id, r.label, round(r.score, 8)) for r in registered.queries()[name](spark, SMALL).collect()]
+    want = of_brute(spark, place_queries(spark, SMALL).where(f"query_id % 8 = {kind}"))
+    assert got and sorted(got) == sorted(want)
+
+
 CORPUS = [
     {"_id": "1", "type": "street", "name": "rue des Lilas", "city": "Andrésy", "postcode": "78570", "lat": 48.32545, "lon": 2.2565, "importance": 0.2, "housenumbers": {"1": {"lat": 48.3255, "lon": 2.2566, "key": "abc", "postcode": "78571"}, "3 bis": {"lat": 48.33, "lon": 2.26}}},
     {"_id": "2", "type": "street", "name": ["avenue de Paris", "Cours de Paris"], "city": "Lyon", "postcode": "69000", "lat": "45.1", "lon": "4.2", "foo": "bar"},

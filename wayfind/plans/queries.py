@@ -537,7 +537,7 @@ def _kind(name: str, kind: int, edit=None):
     _QUERIES[name] = run
 
 
-for _name, _number in (("search_meaningful", 0), ("search_fuzzy", 1), ("search_autocomplete", 2), ("search_housenumber", 3), ("search_filtered", 4), ("search_geo_bias", 5), ("search_only_commons", 10), ("search_reduce_tokens", 7)):
+for _name, _number in (("search_meaningful", 0), ("search_fuzzy", 1), ("search_autocomplete", 2), ("search_housenumber", 3), ("search_filtered", 4), ("search_geo_bias", 5), ("search_only_commons", 6), ("search_reduce_tokens", 7)):
     _kind(_name, _number)
 
 
