@@ -1,6 +1,7 @@
 """Batch search against one query at a time, on places and on a small handmade corpus."""
 
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -51,22 +52,52 @@ def test_places(spark):
     assert sum(map(bool, got.values())) > 0.8 * len(got)
 
 
-def of_brute(spark, queries):
+def of_brute(spark, queries, at=SMALL):
     """query_id, rank, doc_id, label and score of each query's results over the places."""
-    docs = places(spark, SMALL).collect()
+    docs = places(spark, at).collect()
     brute = Brute([plain(d.asDict()) for d in docs], config_for(len(docs)))
     out = []
     for q in queries.collect():
         found = brute(**{k: q[k] for k in ("q", "lat", "lon", "limit", "autocomplete", "fuzzy", "filters")})
-        out += [(q.query_id, i + 1, d, label, round(s, 8)) for i, (d, s, label) in enumerate(found)]
+        out += [(q.query_id, i + 1, d, label, s) for i, (d, s, label) in enumerate(found)]
     return out
 
 
-@pytest.mark.parametrize("name,kind", [("search_only_commons", 6)])
+def agree(rows, want):
+    got, want = sorted(tuple(r) for r in rows), sorted(want)
+    assert got and [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-9)
+
+
+KINDS = "search_meaningful search_fuzzy search_autocomplete search_housenumber search_filtered search_geo_bias search_only_commons search_reduce_tokens".split()
+
+
+@pytest.mark.parametrize("name,kind", [(name, kind) for kind, name in enumerate(KINDS)])
 def test_registered_kinds(spark, name, kind):
-    got = [(r.query_id, r.rank, r.doc_id, r.label, round(r.score, 8)) for r in registered.queries()[name](spark, SMALL).collect()]
-    want = of_brute(spark, place_queries(spark, SMALL).where(f"query_id % 8 = {kind}"))
-    assert got and sorted(got) == sorted(want)
+    """A query of the kind for every place."""
+    agree(registered.queries()[name](spark, SMALL).collect(), of_brute(spark, place_queries(spark, SMALL, kind)))
+
+
+@pytest.fixture(scope="module")
+def doubled(spark, tmp_path_factory):
+    """The small tables with every customer twice, under a key of its own."""
+    at = str(tmp_path_factory.mktemp("doubled"))
+    for t in ("nation", "region", "part", "orders"):
+        os.symlink(f"{SMALL}/{t}.parquet", f"{at}/{t}.parquet")
+    c = spark.read.parquet(f"{SMALL}/customer.parquet")
+    c.unionByName(c.withColumn("c_custkey", c.c_custkey + c.count())).write.parquet(f"{at}/customer.parquet")
+    return at
+
+
+def test_registered_search_takes_every_place(spark, doubled):
+    asked = place_queries(spark, doubled)
+    assert asked.count() == places(spark, doubled).count() == 2 * places(spark, SMALL).count()
+    agree(registered.queries()["search_full"](spark, doubled).collect(), of_brute(spark, asked, doubled))
+
+
+def test_registered_candidates_take_every_place(spark):
+    got = {r.query_id for r in registered.queries()["search_candidates"](spark, SMALL).select("query_id").distinct().collect()}
+    assert got >= {q for q, *_ in of_brute(spark, place_queries(spark, SMALL))}
 
 
 CORPUS = [

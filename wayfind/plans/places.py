@@ -51,11 +51,10 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*names, F.lit(None).cast("string").alias("action"), doc.alias("doc"))
 
 
-def place_queries(spark: SparkSession, sf_dir: str, share: int = 1) -> DataFrame:
-    """Eight kinds of queries about every `share`-th place: plain, misspelt, cut off, with number, with filter, near a center, of common words, and with a word too many."""
+def place_queries(spark: SparkSession, sf_dir: str, kind: int | None = None) -> DataFrame:
+    """A query about every place, of the given kind or of the eight in turn: plain, misspelt, cut off, with number, with filter, near a center, of common words, and with a word too many."""
     p = places(spark, sf_dir).select(F.col("doc_id").cast("long").alias("n"), F.get("name", F.lit(0)).alias("name"), F.get("city", F.lit(0)).alias("city"), F.get("type", F.lit(0)).alias("type"), F.get("postcode", F.lit(0)).alias("postcode"), "lat", "lon", F.get(F.map_keys("housenumbers"), F.lit(0)).alias("hn"))
-    p = p.where(F.col("n") % share == 0).withColumn("kind", (F.floor(F.col("n") / share) % 8).cast("int"))
-    kind = F.col("kind")
+    kind = (F.col("n") % 8).cast("int") if kind is None else F.lit(kind)
     both = F.concat_ws(" ", "name", "city")
     typo = F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)"), F.lit(" "), F.col("city"))
     text = (

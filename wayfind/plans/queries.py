@@ -522,16 +522,14 @@ def reverse_nearest(spark, sf_dir):
 COLUMNS = ("query_id", "rank", "doc_id", "label", "score")
 
 
-def _search(spark, sf_dir, where: str, edit=None) -> DataFrame:
-    q = place_queries(spark, sf_dir, max(1, table(spark, sf_dir, "customer").count() // 150)).where(where)
-    out = engine(spark, sf_dir).search(q if edit is None else edit(q))
+def _search(spark, sf_dir, kind: int | None = None) -> DataFrame:
+    out = engine(spark, sf_dir).search(place_queries(spark, sf_dir, kind))
     return out.select(*COLUMNS[:4], rounded("score").alias("score"))
 
 
-def _kind(name: str, kind: int, edit=None):
+def _kind(name: str, kind: int):
     def run(spark, sf_dir):
-        n = max(1, table(spark, sf_dir, "customer").count() // 150)
-        return _search(spark, sf_dir, f"floor(query_id / {n}) % 8 = {kind}", edit)
+        return _search(spark, sf_dir, kind)
 
     run.__name__ = name
     _QUERIES[name] = run
@@ -543,20 +541,19 @@ for _name, _number in (("search_meaningful", 0), ("search_fuzzy", 1), ("search_a
 
 @query()
 def search_full(spark, sf_dir):
-    return _search(spark, sf_dir, "true")
+    """The eight kinds of queries in turn, one for every place."""
+    return _search(spark, sf_dir)
 
 
 @query()
 def search_batch(spark, sf_dir):
     """A query for every place, in one batch."""
-    out = engine(spark, sf_dir).search(place_queries(spark, sf_dir))
-    return out.select(*COLUMNS[:4], rounded("score").alias("score"))
+    return _search(spark, sf_dir)
 
 
 @query()
 def search_candidates(spark, sf_dir):
-    n = max(1, table(spark, sf_dir, "customer").count() // 40)
-    out = engine(spark, sf_dir).candidates(place_queries(spark, sf_dir, n))
+    out = engine(spark, sf_dir).candidates(place_queries(spark, sf_dir))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "label", rounded("score").alias("score"), F.size("matched").alias("matched"))
 
 
