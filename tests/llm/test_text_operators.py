@@ -164,6 +164,14 @@ def test_near_duplicates(docs, raw, none, block_rows):
         assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_empty_blocks(spark):
+    """A few long texts make more blocks than there are texts, so that some stay empty."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[:200], f"x{i}", *base[200:]])) for i in range(3)] + [(3, "another text")]
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=200)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out.collect()) == [(0, 0, 2), (1, 0, 2), (2, 0, 2), (3, 3, 0)]
+
+
 def test_banding():
     for recall in (0.9, 0.999, 0.99999):
         bands, rows = ngram_join.banding(0.8, recall)

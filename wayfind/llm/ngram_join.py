@@ -207,6 +207,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in one.items()}, "c": pa.array([x.c], pa.list_(pa.binary())), "copies": pa.array([x.copies.tolist()], pa.list_(pa.int64())), "sizes": pa.array([x.sizes.tolist()], pa.list_(pa.int64())), "grams": pa.array([x.grams.tobytes()], pa.binary())})
 
     def meet(key, left, right):
+        if not left.num_rows or not right.num_rows:  # no class fell into one of the blocks
+            return pa.table({"c": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
         a, b = (Block(r["c"], np.array(r["copies"], np.int64), np.array(r["sizes"], np.int64), np.frombuffer(r["grams"], np.uint64)) for r in (left.to_pylist()[0], right.to_pylist()[0]))
         return _rows(a, None if key[1].as_py() == key[2].as_py() else b, threshold)
 
