@@ -35,6 +35,20 @@ def test_topk(spark):
     assert exact_topk.exact_topk(empty, empty).count() == 0
 
 
+def test_topk_of_many_rows_of_one_id(spark):
+    """Each of two ids has more than k rows, better than all others, in one tile; small and large components."""
+    for size in (1.0, 1e12):
+        rows = [(0, [size, 0.0], 0)] + [(i, [size * (1 - i / 100), size], 0) for i in range(1, 20)]
+        rows += [(50 + i % 2, [size * (2 + i), 0.0], 0) for i in range(30)]
+        df = spark.createDataFrame(rows, VECTORS).coalesce(1)
+        best = {}
+        for i, v, _ in rows[1:]:
+            best[i] = max(best.get(i, -(2**63)), min(2**63 - 1, math.floor(1024 * size) * math.floor(1024 * v[0])))
+        expected = [(0, n + 1, j, best[j]) for n, j in enumerate(sorted(best, key=lambda j: (-best[j], j))[:10])]
+        got = exact_topk.exact_topk(df, df.where("vec_id = 0"))
+        assert sorted(map(tuple, got.collect())) == expected
+
+
 def test_topk_large_components(spark):
     rows = [(0, [3e9, 1.0], 0), (1, [2e9, -5.0], 0), (2, [-1e9, 1e12], 0)]
     df = spark.createDataFrame(rows, VECTORS)

@@ -70,6 +70,11 @@ def _best(query_ids, queries, ids, matrix, k):
         for i, q in enumerate(queries):
             q = [int(v) for v in q]
             exact[i] = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, row)))) for row in whole]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    if len(first) < len(ids):  # rows that repeat an id take one place, before the k best are cut
+        ids, exact = ids[first], np.maximum.reduceat(exact, first, axis=1)
+        if bound < 2.0**52:
+            scores = exact.astype(np.float64)
     out = []
     fast = bound * (len(ids) + 1) < 2.0**52
     if fast:  # score and place in one exact number: ties are gone
