@@ -46,16 +46,21 @@ def test_lines(docs, raw, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_repeats(rows, window):
+    seen = Counter()
+    lists = [words(r[1]) for r in rows]
+    for w in lists:
+        seen.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    out = []
+    for r, w in zip(rows, lists):
+        gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append((r[0], len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
 def test_substrings(docs, raw, none):
     for window in (35, 13):
-        seen = Counter()
-        lists = [words(r[1]) for r in raw]
-        for w in lists:
-            seen.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
-        expected = []
-        for r, w in zip(raw, lists):
-            gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
-            expected.append((r[0], len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+        expected = brute_repeats(raw, window)
         out = substring_dedup.remove_repeats(docs, window=window)
         same([tuple(r) for r in out.collect()], expected)
         assert sum(x[2] for x in expected) > 500
@@ -323,3 +328,21 @@ def test_word_tokenizer_on_random_strings():
     for _ in range(1500):
         texts = ["".join(rng.choice(letters[: rng.choice([6, 12, 20, len(letters)])]) for _ in range(rng.randint(0, 60))) for _ in range(5)]
         assert ids_of(words, texts) == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_null_ids_with_equal_32_bit_hashes(spark):
+    """Two texts under null ids whose 32-bit hashes, as Spark's hash() gives them, are equal stay two documents in every operator."""
+    line, passage = "one line of over forty code points that seven documents share", " ".join(f"w{i}" for i in range(60))
+    first, second = "text 0046562", "text 0083333"
+    texts = [(None, f"{first}\n{line}\nx {passage}"), (None, f"{second}\n{line}\nx {passage}"), *[(i, f"{i} is its own\n{line}\n{i} {passage}") for i in range(6)]]
+    df = spark.createDataFrame([(*t, "en", "s") for t in texts], "doc_id long, text string, lang string, source string").coalesce(1)
+    assert df.where("doc_id is null").select(F.hash("text")).distinct().count() == 1
+    same([r.kept for r in line_dedup.dedup_lines(df).collect()], [t if i == 5 else t.replace(f"{line}\n", "") for i, t in texts])
+    same([tuple(r) for r in substring_dedup.remove_repeats(df).collect()], brute_repeats(texts, 35))
+    same([r.text for r in quality_rules.good_documents(df).collect()], [t for _, t in texts])
+    copies = mixing.mix(df).collect()
+    assert sorted(r.doc_id is None for r in copies) == [False] * 6 + [True] * 2
+    assert mixing.mixed_documents(df).count() == sum(r.copies for r in copies)
+    found = ngram_join.near_duplicates(df, threshold=0.99).collect()
+    assert len({(r._k, bytes(r._t)) for r in found}) == len(found) == 8
+    same([r.text for r in ngram_join.one_of_each(df, threshold=0.99).collect()], [t for _, t in texts])

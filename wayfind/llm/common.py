@@ -104,11 +104,20 @@ class Scratch:
             self._delete(f"{self.root}/{name}")
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
-    """Names a row for joins: its id (null: the smallest long) and 32 bits of its text, so that rows that repeat an id don't mix their texts."""
+def digest(*columns: Column) -> Column:
+    """128 bits of some string columns, null and empty told apart where there are several."""
+    if len(columns) == 1:
+        return F.unhex(F.md5(columns[0]))
+    return F.unhex(F.md5(F.concat(*[F.md5(F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))) for c in columns])))
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id", *more: str) -> list[Column]:
+    """Names a row for joins, so that rows that repeat an id don't mix their texts: its id (null: the smallest long), and of its
+    text, and of more columns, 128 bits of digest where the id is null, 64 where it is not."""
+    whole = digest(F.coalesce(F.col(text), F.lit("")), *[F.col(c) for c in more])
     return [
         F.coalesce(F.col(doc_id), F.lit(-(2**63))).cast("long").alias("_k"),
-        F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
+        F.when(F.col(doc_id).isNull(), whole).otherwise(F.substring(whole, 1, 8)).alias("_t"),
     ]
 
 

@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 7) -> Dat
             size = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(sizes), size, lists], ["_k", "_t", "c", "grams", "bytes", "bands"])
 
-    return docs.select(*row_key(), "text").mapInArrow(tidy(run), "_k long, _t int, c binary, grams long, bytes long, bands array<long>")
+    return docs.select(*row_key(), "text").mapInArrow(tidy(run), "_k long, _t binary, c binary, grams long, bytes long, bands array<long>")
 
 
 class Block:

@@ -300,7 +300,7 @@ def slots(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {x: np.asarray(v, dtype=np.int64) for x, v in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 1_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 250) -> DataFrame:
     """Every row of pieces (written beforehand: they are read three times) with sequence_id and offset.
 
     The n pieces of one length are ranked in groups of about max(group_rows, sqrt(n)), so that neither a group nor the

@@ -177,10 +177,10 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
     estimates come from all that pass the base rule. Groups of under `least` rows are judged by the
     estimate over all rows of their language, and those of languages of under `least` rows by that over all rows. Null texts are empty, null
     languages and sources group like others; rows that repeat count each; an empty table gives no rows; other columns are
-    ignored. _k and _t name a row by its id and a hash of its text, language and source.
+    ignored. _k and _t name a row by its id and a digest of its text, language and source.
     """
     scratch = Scratch(docs.sparkSession, "quality", docs)
-    counted = count_texts(docs.select("doc_id", "lang", "source", row_key()[0], _named(), "text"))
+    counted = count_texts(docs.select("doc_id", "lang", "source", *row_key("text", "doc_id", "lang", "source"), "text"))
     n, r = F.col("n_words"), F.col("n_repeat_words")
     counted = scratch.keep(counted.withColumn("base_failed", (n < min_words) | (100 * r > max_repeat_percent * n)), "counts")
     spec = features()
@@ -192,13 +192,9 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
     return far.unionByName(failed)
 
 
-def _named() -> Column:
-    return F.hash(F.coalesce("text", F.lit("")), "lang", "source").alias("_t")
-
-
 def good_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep."""
     scratch = Scratch(docs.sparkSession, "good", docs)
     gone = scratch.keep(judge(docs, **options).where("not kept").select("_k", "_t").distinct(), "rejected")
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), row_key()[0], _named()).join(gone, ["_k", "_t"], "left_anti")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *row_key("text", "doc_id", "lang", "source")).join(gone, ["_k", "_t"], "left_anti")
     return rows.select(*uncarried(rows, docs))

@@ -69,7 +69,7 @@ def runs(docs: DataFrame, window: int, k: int) -> DataFrame:
                 }
             )
 
-    return docs.select(*row_key(), "text").mapInArrow(tidy(find), "_k long, _t int, start long, windows long, anchor long, region long")
+    return docs.select(*row_key(), "text").mapInArrow(tidy(find), "_k long, _t binary, start long, windows long, anchor long, region long")
 
 
 def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -101,7 +101,7 @@ def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     key = row_key()
     texts = docs.select(*key, "text").join(wanted, ["_k", "_t"]).select("_k", "_t", "text", "runs")
-    return texts.mapInArrow(tidy(emit), "w1 long, w2 long, _k long, _t int, at long, own boolean")
+    return texts.mapInArrow(tidy(emit), "w1 long, w2 long, _k long, _t binary, at long, own boolean")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
