@@ -67,6 +67,37 @@ def test_substrings(docs, raw, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeated_spans_are_nonbranching_paths(spark):
+    """Two passages that share their middle make five paths: the middle, and what leads to and from it; equal words have equal digests."""
+    p = [f"p{i}" for i in range(200)]
+    q = [f"q{i}" for i in range(60)] + p[60:140] + [f"q{i}" for i in range(140, 200)]
+    rows = [(0, "a " + " ".join(p)), (1, "b " + " ".join(p)), (2, "c " + " ".join(q) + " c"), (3, " ".join(q)), (4, " ".join(p[100:130])), (5, "x " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = defaultdict(list)
+    for r in substring_dedup.repeated_spans(df, window=20).collect():
+        text = dict(rows)[r.doc_id].split()
+        found[r.doc_id].append((r.start, r.n_words))
+        assert r.n_words >= 20
+    edges = lambda first, last: (first, last - first)  # noqa: E731  words from first up to last
+    for doc, shift in ((0, 1), (1, 1), (2, 1), (3, 0)):
+        assert sorted(found[doc]) == [edges(0 + shift, 79 + shift), edges(60 + shift, 140 + shift), edges(121 + shift, 200 + shift)]
+    assert found[4] == [(0, 30)] and sum(n - 19 for _, n in found[5]) == 71  # one window, again and again
+    same([tuple(r) for r in substring_dedup.remove_repeats(df, window=20).collect()], brute_repeats(rows, 20))
+
+
+@pytest.mark.parametrize("window", [2, 7, 90])
+def test_windows_of_other_sizes(spark, window):
+    import random
+
+    rng = random.Random(window)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 40))) for _ in range(20)]
+    long = [f"w{i}" for i in range(300)]
+    texts += [" ".join(long), " ".join(["x", *long[:200], "y"]), " ".join(long[50:])]
+    rows = list(enumerate(texts))
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window)
+    same([tuple(r) for r in out.collect()], brute_repeats(rows, window))
+
+
 def counts(text):
     w = words(text)
     runs = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))

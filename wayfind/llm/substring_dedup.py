@@ -1,135 +1,211 @@
-"""Substring deduplication: repeated windows of words through a compacted de Bruijn graph.
-
-Every window of `window` words has an anchor: the k-mer of words in it whose hash is least (the leftmost of equals), so
-equal windows have equal anchors at equal places. Anchors are the graph's sampled nodes. Consecutive windows of a document
-with one anchor are one run, whose words from the first window's start to the last one's end are its region: a
-nonbranching path, compacted to one row (anchor hash, region hash, document, start, windows). Joins then decide whole runs:
-
-1. anchors found once: no window of the run repeats;
-2. a region found twice or more under its anchor: all of its windows repeat;
-3. what is left are runs at branching anchors with a region of their own. Only there do single windows, the graph's
-   edges, meet as 128-bit hashes, one representative for each region.
-
-Source coordinates (document, start, windows) lead from repeated paths back to spans. Regions count by two hashes, that of the
-anchor and an independent one of the whole region.
+"""Substring deduplication: repeated windows of words as edges of a de Bruijn graph, compacted into nonbranching paths.
+
+The graph's k-mers are the windows of `window` words. Each is an edge from the node of all its words but the last to the node of
+all but the first. Only edges found twice or more matter, and sampling finds the places where they can be:
+
+1. Every window has an anchor, the sampled mer of words in it whose hash is least (the leftmost of equals), so equal windows have
+   equal anchors at equal places. Consecutive windows of a document with one anchor are a run, its words a region. Runs
+   whose anchor is found once hold no repeated window and drop out.
+2. Equal regions, by 128 bits of digest of their words, are one: the edges of one representative stand for all of them, with
+   their number as weight. An edge is 128 bits of digest of the window's words; the weights of equal edges add up, and
+   those of two and more stay.
+3. The degrees of the nodes between the edges that stay tell where paths branch. Joins bring edges and degrees
+   back to the regions, as bitmaps of what repeats and of where a path ends.
+4. A join takes the regions' bitmaps to the source coordinates of all runs, and adjacent parts of one nonbranching path become
+   one span. A span counts only if the words at its coordinates have the region's digest.
 """
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Rolling, Scratch, WordHash, hashed_words, row_key, slices, tidy
+from wayfind.llm.common import Rolling, Scratch, WordHash, row_key, slices, tidy
 
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+BASE = 0x9E3779B97F4A7C15
+#: Windows of one run, each a bit of a long.
+MOST = 64
 
 
 def _record(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def runs(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """_k, _t, start, windows, anchor, region of every run of every row."""
+class Words:
+    """The words of some texts: `flat` joined by single spaces, `byte` where each starts there (one more entry at the end), `first` where each text's start."""
+
+    def __init__(self, texts: list[bytes]):
+        words = [x.split() for x in texts]  # bytes.split() takes exactly the ASCII white space of WORD
+        self.first = np.cumsum([0, *map(len, words)])
+        self.all = [w for x in words for w in x]
+        self.flat = memoryview(b" ".join(self.all))
+        self.byte = np.zeros(len(self.all) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, self.all), np.int64, len(self.all)) + 1, out=self.byte[1:])
+
+    def hashes(self, cache: WordHash) -> np.ndarray:
+        return np.fromiter(map(cache.__getitem__, self.all), np.uint64, len(self.all))
+
+    def digests(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Two longs of digest of the words from each start on."""
+        cuts = map(slice, self.byte[start].tolist(), (self.byte[start + count] - 1).tolist())
+        found = b"".join(map(xxhash.xxh3_128_digest, map(self.flat.__getitem__, cuts)))
+        return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+
+RUNS = "_k long, _t binary, start long, windows int, anchor long, r1 long, r2 long"
+
+
+def runs(docs: DataFrame, window: int, mer: int) -> DataFrame:
+    """Key, start, number of windows, anchor and region (r1, r2) of every run of every row."""
 
     def find(batches):
-        cache, first, second = WordHash(), Rolling(BASES[0]), Rolling(BASES[1])
-        reach = window - k + 1
+        cache, roll = WordHash(), Rolling(BASE)
+        reach = window - mer + 1
         for part, texts in slices(batches, "text"):
-            words, offsets = hashed_words(texts, cache)
-            n = len(words)
-            doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+            words = Words(texts)
+            n = len(words.all)
             if n < window:
                 continue
-            a, b = first.sums(words), second.sums(words)
-            at = np.arange(n - k + 1)
-            kmers = first.of(a, at, at + k)
+            doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
+            at = np.arange(n - mer + 1)
+            mers = roll.of(roll.sums(words.hashes(cache)), at, at + mer)
             starts = np.arange(n - window + 1)
             starts = starts[doc[starts] == doc[starts + window - 1]]
             if not len(starts):
                 continue
-            least = np.lib.stride_tricks.sliding_window_view(kmers, reach).argmin(axis=1)
+            least = np.lib.stride_tricks.sliding_window_view(mers, reach).argmin(axis=1)
             anchor = starts + least[starts]
             new = np.ones(len(starts), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])
             head = np.flatnonzero(new)
             count = np.diff(np.append(head, len(starts)))
             s0 = starts[head]
-            d = doc[s0]
-            yield _record(
-                {
-                    "_k": part.column(0).take(pa.array(d)),
-                    "_t": part.column(1).take(pa.array(d)),
-                    "start": pa.array(s0 - offsets[d], pa.int64()),
-                    "windows": pa.array(count, pa.int64()),
-                    "anchor": pa.array(kmers[anchor[head]].view(np.int64)),
-                    "region": pa.array(second.of(b, s0, s0 + count - 1 + window).view(np.int64)),
-                }
-            )
+            d = pa.array(doc[s0])
+            region = words.digests(s0, count - 1 + window)
+            key = {"_k": part.column(0).take(d), "_t": part.column(1).take(d)}
+            own = {"start": pa.array(s0 - words.first[doc[s0]], pa.int64()), "windows": pa.array(count, pa.int32()), "anchor": pa.array(mers[anchor[head]].view(np.int64))}
+            yield _record({**key, **own, "r1": pa.array(region[:, 0]), "r2": pa.array(region[:, 1])})
+
+    return docs.select(*row_key(), "text").mapInArrow(tidy(find), RUNS)
 
-    return docs.select(*row_key(), "text").mapInArrow(tidy(find), "_k long, _t binary, start long, windows long, anchor long, region long")
+
+EDGES = "e1 long, e2 long, source long, target long, r1 long, r2 long, at int, weight long"
 
 
 def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """w1, w2 (128 bits of hash), _k, _t, at, own of each window of the wanted runs: _k, _t, runs (array of start, windows, own)."""
+    """The edge (e1, e2), its nodes, region, place in the region and weight of each window of the wanted runs: _k, _t, runs (array of start, windows, weight, r1, r2)."""
 
     def emit(batches):
-        cache, first, second = WordHash(), Rolling(BASES[0]), Rolling(BASES[1])
+        cache, roll = WordHash(), Rolling(BASE)
         for part, texts in slices(batches, "text"):
-            words, offsets = hashed_words(texts, cache)
-            a, b = first.sums(words), second.sums(words)
+            words = Words(texts)
+            sums = roll.sums(words.hashes(cache))
             lists = part.column(3)
             of = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(lists)))
             flat = lists.flatten()
-            start, count, own = (np.asarray(flat.field(i)) for i in range(3))
+            start, count = np.asarray(flat.field(0)), np.asarray(flat.field(1)).astype(np.int64)
             row = np.repeat(np.arange(len(of)), count)
-            at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            d = of[row]
-            s = offsets[d] + at
-            yield _record(
-                {
-                    "w1": pa.array(first.of(a, s, s + window).view(np.int64)),
-                    "w2": pa.array(second.of(b, s, s + window).view(np.int64)),
-                    "_k": part.column(0).take(pa.array(d)),
-                    "_t": part.column(1).take(pa.array(d)),
-                    "at": pa.array(at, pa.int64()),
-                    "own": pa.array(own[row]),
-                }
-            )
-
-    key = row_key()
-    texts = docs.select(*key, "text").join(wanted, ["_k", "_t"]).select("_k", "_t", "text", "runs")
-    return texts.mapInArrow(tidy(emit), "w1 long, w2 long, _k long, _t binary, at long, own boolean")
-
-
-def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
-    """_k, _t and spans of every document with a repeated window: spans holds start (in words) and windows, the number of consecutive repeated windows from there."""
-    scratch = Scratch(docs.sparkSession, "substrings", docs)
-    found = scratch.keep(runs(docs, window, k), "runs")
-    nodes = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("region") != F.max("region")).alias("branching")).where("n > 1").drop("n")
-    nodes = scratch.keep(nodes, "nodes")
-    paths = scratch.keep(found.join(nodes, "anchor"), "paths")
-    scratch.drop("runs", "nodes")
-    branching = paths.where("branching")
-    least = F.min(F.struct("_k", "_t", "start", "windows"))
-    regions = scratch.keep(branching.groupBy("anchor", "region").agg(F.count("*").alias("n"), least.alias("one")), "regions")
-    run = F.struct(F.col("one.start").alias("start"), F.col("one.windows").alias("windows"), (F.col("n") == 1).alias("own"))
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            s = words.first[of[row]] + start[row] + at
+            edge = words.digests(s, np.full(len(s), window))
+            node = lambda x: pa.array(roll.of(sums, x, x + window - 1).view(np.int64))
+            place = pa.array(row)
+            own = {"r1": flat.field(3).take(place), "r2": flat.field(4).take(place), "at": pa.array(at, pa.int32()), "weight": flat.field(2).take(place)}
+            yield _record({"e1": pa.array(edge[:, 0]), "e2": pa.array(edge[:, 1]), "source": node(s), "target": node(s + 1), **own})
+
+    texts = docs.select(*row_key(), "text").join(wanted, ["_k", "_t"]).select("_k", "_t", "text", "runs")
+    return texts.mapInArrow(tidy(emit), EDGES)
+
+
+def repeated_runs(docs: DataFrame, window: int, scratch: Scratch, mer: int = 12) -> DataFrame:
+    """_k, _t and runs of every document with a repeated window: an array of start, windows, r1, r2 (the run's region), again (a bit for each window that repeats) and ends (for each behind which its path ends)."""
+    mer = min(window, max(mer, window + 1 - MOST))
+    found = scratch.keep(runs(docs, window, mer), "runs")
+    anchors = scratch.keep(found.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    # both sides of each join below are written tables and so plain shuffles, whose hot keys can be split
+    candidates = scratch.keep(found.join(anchors, "anchor").drop("anchor"), "candidates")
+    scratch.drop("runs", "anchors")
+    regions = candidates.groupBy("r1", "r2").agg(F.count("*").alias("weight"), F.min(F.struct("_k", "_t", "start", "windows")).alias("one"))
+    run = F.struct("one.start", "one.windows", "weight", "r1", "r2")
     wanted = scratch.keep(regions.select("one._k", "one._t", run.alias("run")).groupBy("_k", "_t").agg(F.collect_list("run").alias("runs")), "wanted")
-    rows = scratch.keep(edges(docs, wanted, window), "edges")
-    again = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("w1", "w2")
-    again = scratch.keep(again, "again")  # both sides of the join are then plain shuffles, whose hot windows can be split
-    single = rows.where("own").join(again, ["w1", "w2"]).select("_k", "_t", F.col("at").alias("start"), F.lit(1).cast("long").alias("windows"))
-    whole = paths.where("not branching").select("_k", "_t", "start", "windows")
-    many = branching.join(regions.where("n > 1").select("anchor", "region"), ["anchor", "region"]).select("_k", "_t", "start", "windows")
-    spans = whole.unionByName(many).unionByName(single).groupBy("_k", "_t").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
-    spans = scratch.keep(spans, "spans")
-    scratch.drop("paths", "regions", "wanted", "edges", "again")
-    return spans
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
+    every = scratch.keep(edges(docs, wanted, window), "edges")
+    scratch.drop("wanted")
+    kmers = every.groupBy("e1", "e2").agg(F.sum("weight").alias("m"), F.min("source").alias("source"), F.min("target").alias("target")).where("m > 1").drop("m")
+    kmers = scratch.keep(kmers, "kmers")
+    ends = kmers.select(F.col("source").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(kmers.select(F.col("target").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    branching = scratch.keep(ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or in > 1").select("node", F.lit(True).alias("end")), "branching")
+    kmers = kmers.select("e1", "e2", F.col("target").alias("node")).join(branching, "node", "left").select("e1", "e2", F.coalesce("end", F.lit(False)).alias("end"))
+    kmers = scratch.keep(kmers, "compact")
+    bit = F.expr("shiftleft(1L, at)")
+    again = every.select("e1", "e2", "r1", "r2", "at").join(kmers, ["e1", "e2"]).groupBy("r1", "r2")
+    again = scratch.keep(again.agg(F.bit_or(bit).alias("again"), F.bit_or(F.when(F.col("end"), bit).otherwise(0)).alias("ends")), "again")
+    scratch.drop("edges", "kmers", "branching", "compact")
+    run = F.struct("start", "windows", "r1", "r2", "again", "ends")
+    out = scratch.keep(candidates.join(again, ["r1", "r2"]).groupBy("_k", "_t").agg(F.collect_set(run).alias("runs")), "spans")
+    scratch.drop("candidates", "again")
+    return out
+
+
+def path_spans(own: list[dict], words: Words, doc: int, window: int) -> list[tuple[int, int]]:
+    """(start, windows) of each nonbranching path of repeated windows in a text, from its runs in any order; runs whose digest is not that of the words at their coordinates are left out."""
+    own = sorted(own, key=itemgetter("start"))
+    n = int(words.first[doc + 1] - words.first[doc])
+    own = [x for x in own if x["start"] + x["windows"] + window - 1 <= n]
+    start, count = (np.array([x[c] for x in own], dtype=np.int64) for c in ("start", "windows"))
+    found = words.digests(words.first[doc] + start, count + window - 1).tolist() if own else []
+    out: list[tuple[int, int]] = []
+    path = -1  # where the path goes on, if it does
+    for x, digest in zip(own, found):
+        if digest != [x["r1"], x["r2"]]:
+            continue
+        for i in range(x["windows"]):
+            if x["again"] >> i & 1:
+                at = x["start"] + i
+                if at == path:
+                    out[-1] = (out[-1][0], out[-1][1] + 1)
+                else:
+                    out.append((at, 1))
+                path = -1 if x["ends"] >> i & 1 else at + 1
+    return out
+
+
+def _each(docs: DataFrame, window: int, mer: int, schema: str, of) -> DataFrame:
+    """of(doc_ids, texts, words, spans of each text) for slices of all rows of docs."""
+    found = repeated_runs(docs, window, Scratch(docs.sparkSession, "substrings", docs), mer)
+
+    def run(batches):
+        for part, texts in slices(batches, "text"):
+            words = Words(texts)
+            spans = [path_spans(own, words, i, window) if own else [] for i, own in enumerate(part.column(2).to_pylist())]
+            yield of(part.column(0), texts, words, spans)
+
+    rows = docs.select(F.col("doc_id").cast("long"), *row_key(), "text").join(found, ["_k", "_t"], "left").select("doc_id", "text", "runs")
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, mer: int = 12) -> DataFrame:
+    """doc_id, start (in words), n_words, and h1, h2 (128 bits of digest of the words) of every occurrence of a nonbranching path of repeated windows.
+
+    What holds for remove_repeats holds here too. A path may start or end inside another document's: h1 and h2 are equal where the words are.
+    """
+
+    def rows(doc_ids, texts, words, spans):
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
+        start, windows = np.array([y for x in spans for y in x], dtype=np.int64).reshape(-1, 2).T
+        n = windows + window - 1
+        h = words.digests(words.first[doc] + start, n)
+        return _record({"doc_id": doc_ids.take(pa.array(doc)), "start": pa.array(start), "n_words": pa.array(n), "h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1])})
+
+    return _each(docs, window, mer, "doc_id long, start long, n_words long, h1 long, h2 long", rows)
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, mer: int = 12) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the other words joined by one space) of every row.
 
     A word goes if a window over it has a word sequence that also starts anywhere else, in the same document or another.
@@ -137,24 +213,24 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     copies of each other; null ids are kept apart by their texts; an empty table gives no rows; columns other than doc_id
     and text are ignored.
     """
-    spans = repeated_spans(docs, window, k)
 
-    def cut(batches):
-        for part, texts in slices(batches, "text"):
-            lists = part.column(2).to_pylist()
-            out = []
-            for text, own in zip(texts, lists):
-                words = text.split()
-                n = len(words)
-                if own:
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, [x["start"] for x in own], 1)
-                    np.add.at(edge, [x["start"] + x["windows"] + window - 1 for x in own], -1)
-                    words = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
-                out.append((n, n - len(words), b" ".join(words).decode()))
-            n_words, removed, kept = zip(*out)
-            yield _record({"doc_id": part.column(0), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
-
-    key = row_key()
-    rows = docs.select(F.col("doc_id").cast("long"), *key, "text").join(spans, ["_k", "_t"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept string")
+    def rows(doc_ids, texts, words, spans):
+        sizes = np.diff(words.first)
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
+        start, windows = np.array([y for x in spans for y in x], dtype=np.int64).reshape(-1, 2).T
+        edge = np.zeros(len(words.all) + 1, dtype=np.int64)
+        np.add.at(edge, words.first[doc] + start, 1)
+        np.add.at(edge, words.first[doc] + start + windows + window - 1, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+        kept = []
+        for i, n in enumerate(removed.tolist()):
+            a, b = int(words.first[i]), int(words.first[i + 1])
+            if n:
+                kept.append(b" ".join([words.all[j] for j in (a + np.flatnonzero(~gone[a:b])).tolist()]))
+            else:
+                kept.append(bytes(words.flat[int(words.byte[a]) : int(words.byte[b]) - 1]) if b > a else b"")
+        texts = pa.array(kept, pa.binary()).cast(pa.string())
+        return _record({"doc_id": doc_ids, "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": texts})
+
+    return _each(docs, window, mer, "doc_id long, n_words long, n_removed long, kept string", rows)
