@@ -17,8 +17,6 @@ all but the first. Only edges found twice or more matter, and sampling finds the
 
 from __future__ import annotations
 
-from operator import itemgetter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -26,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfind.llm.common import Rolling, Scratch, WordHash, row_key, slices, tidy
+from wayfind.llm.common import Rolling, Scratch, row_key, slices, tidy
 
 BASE = 0x9E3779B97F4A7C15
 #: Windows of one run, each a bit of a long.
@@ -38,18 +36,31 @@ def _record(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 class Words:
-    """The words of some texts: `flat` joined by single spaces, `byte` where each starts there (one more entry at the end), `first` where each text's start."""
+    """The words of some texts: `flat` has them joined by single spaces, each starts at `byte` there (one more entry at the end), each text's words at `first` (one more, too)."""
 
-    def __init__(self, texts: list[bytes]):
-        words = [x.split() for x in texts]  # bytes.split() takes exactly the ASCII white space of WORD
-        self.first = np.cumsum([0, *map(len, words)])
-        self.all = [w for x in words for w in x]
-        self.flat = memoryview(b" ".join(self.all))
-        self.byte = np.zeros(len(self.all) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, self.all), np.int64, len(self.all)) + 1, out=self.byte[1:])
+    #: 1 for all but ASCII white space.
+    HELD = bytes(int(i not in b" \t\n\r\x0b\x0c") for i in range(256))
 
-    def hashes(self, cache: WordHash) -> np.ndarray:
-        return np.fromiter(map(cache.__getitem__, self.all), np.uint64, len(self.all))
+    def __init__(self, texts: list[bytes]):
+        blob = b" ".join([*texts, b""])
+        held = np.frombuffer(blob.translate(self.HELD), bool)
+        starts = held.copy()
+        starts[1:] &= ~held[:-1]
+        stays = held.copy()
+        stays[1:] |= held[:-1]  # of white space the first character, made a space
+        self.bytes = np.where(held, np.frombuffer(blob, np.uint8), np.uint8(32))[stays]
+        self.flat = memoryview(self.bytes.tobytes())
+        self.byte = np.append(np.flatnonzero(starts[stays]), len(self.bytes))
+        text = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        self.first = np.searchsorted(np.flatnonzero(starts), text)
+
+    def __len__(self) -> int:
+        return len(self.byte) - 1
+
+    def hashes(self, roll: Rolling):
+        """A function of starts and counts: 64-bit hashes of that many words, in which equal words are equal; good for sampling, not for proof."""
+        sums = roll.sums(self.bytes)
+        return lambda start, count: roll.of(sums, self.byte[start], self.byte[start + count])
 
     def digests(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Two longs of digest of the words from each start on."""
@@ -58,6 +69,17 @@ class Words:
         return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
+def leftmost_least(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """For each place, where in the `reach` places from it on the least hash is, by its upper 32 bits; the leftmost of equals."""
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while width < reach:
+        step = min(width, reach - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 RUNS = "_k long, _t binary, start long, windows int, anchor long, r1 long, r2 long"
 
 
@@ -65,22 +87,19 @@ def runs(docs: DataFrame, window: int, mer: int) -> DataFrame:
     """Key, start, number of windows, anchor and region (r1, r2) of every run of every row."""
 
     def find(batches):
-        cache, roll = WordHash(), Rolling(BASE)
-        reach = window - mer + 1
+        roll = Rolling(BASE)
         for part, texts in slices(batches, "text"):
             words = Words(texts)
-            n = len(words.all)
+            n = len(words)
             if n < window:
                 continue
             doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-            at = np.arange(n - mer + 1)
-            mers = roll.of(roll.sums(words.hashes(cache)), at, at + mer)
+            mers = words.hashes(roll)(np.arange(n - mer + 1), mer)
             starts = np.arange(n - window + 1)
             starts = starts[doc[starts] == doc[starts + window - 1]]
             if not len(starts):
                 continue
-            least = np.lib.stride_tricks.sliding_window_view(mers, reach).argmin(axis=1)
-            anchor = starts + least[starts]
+            anchor = leftmost_least(mers, window - mer + 1)[starts]
             new = np.ones(len(starts), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])
             head = np.flatnonzero(new)
@@ -102,10 +121,10 @@ def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The edge (e1, e2), its nodes, region, place in the region and weight of each window of the wanted runs: _k, _t, runs (array of start, windows, weight, r1, r2)."""
 
     def emit(batches):
-        cache, roll = WordHash(), Rolling(BASE)
+        roll = Rolling(BASE)
         for part, texts in slices(batches, "text"):
             words = Words(texts)
-            sums = roll.sums(words.hashes(cache))
+            hashes = words.hashes(roll)
             lists = part.column(3)
             of = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(lists)))
             flat = lists.flatten()
@@ -114,7 +133,7 @@ def edges(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             s = words.first[of[row]] + start[row] + at
             edge = words.digests(s, np.full(len(s), window))
-            node = lambda x: pa.array(roll.of(sums, x, x + window - 1).view(np.int64))
+            node = lambda x: pa.array(hashes(x, window - 1).view(np.int64))
             place = pa.array(row)
             own = {"r1": flat.field(3).take(place), "r2": flat.field(4).take(place), "at": pa.array(at, pa.int32()), "weight": flat.field(2).take(place)}
             yield _record({"e1": pa.array(edge[:, 0]), "e2": pa.array(edge[:, 1]), "source": node(s), "target": node(s + 1), **own})
@@ -142,48 +161,48 @@ def repeated_runs(docs: DataFrame, window: int, scratch: Scratch, mer: int = 12)
     branching = scratch.keep(ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or in > 1").select("node", F.lit(True).alias("end")), "branching")
     kmers = kmers.select("e1", "e2", F.col("target").alias("node")).join(branching, "node", "left").select("e1", "e2", F.coalesce("end", F.lit(False)).alias("end"))
     kmers = scratch.keep(kmers, "compact")
+    scratch.drop("kmers", "branching")
     bit = F.expr("shiftleft(1L, at)")
     again = every.select("e1", "e2", "r1", "r2", "at").join(kmers, ["e1", "e2"]).groupBy("r1", "r2")
     again = scratch.keep(again.agg(F.bit_or(bit).alias("again"), F.bit_or(F.when(F.col("end"), bit).otherwise(0)).alias("ends")), "again")
-    scratch.drop("edges", "kmers", "branching", "compact")
+    scratch.drop("edges", "compact")
     run = F.struct("start", "windows", "r1", "r2", "again", "ends")
     out = scratch.keep(candidates.join(again, ["r1", "r2"]).groupBy("_k", "_t").agg(F.collect_set(run).alias("runs")), "spans")
     scratch.drop("candidates", "again")
     return out
 
 
-def path_spans(own: list[dict], words: Words, doc: int, window: int) -> list[tuple[int, int]]:
-    """(start, windows) of each nonbranching path of repeated windows in a text, from its runs in any order; runs whose digest is not that of the words at their coordinates are left out."""
-    own = sorted(own, key=itemgetter("start"))
-    n = int(words.first[doc + 1] - words.first[doc])
-    own = [x for x in own if x["start"] + x["windows"] + window - 1 <= n]
-    start, count = (np.array([x[c] for x in own], dtype=np.int64) for c in ("start", "windows"))
-    found = words.digests(words.first[doc] + start, count + window - 1).tolist() if own else []
-    out: list[tuple[int, int]] = []
-    path = -1  # where the path goes on, if it does
-    for x, digest in zip(own, found):
-        if digest != [x["r1"], x["r2"]]:
-            continue
-        for i in range(x["windows"]):
-            if x["again"] >> i & 1:
-                at = x["start"] + i
-                if at == path:
-                    out[-1] = (out[-1][0], out[-1][1] + 1)
-                else:
-                    out.append((at, 1))
-                path = -1 if x["ends"] >> i & 1 else at + 1
-    return out
+def path_spans(lists: pa.ListArray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word (among those of all texts) and windows of each nonbranching path of repeated windows, from the runs of each text; runs whose digest is not that of the words at their coordinates are left out."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    flat = lists.flatten()
+    start, windows, r1, r2, again, ends = (np.asarray(flat.field(i)).astype(np.int64) for i in range(6))
+    start += words.first[doc]
+    inside = np.flatnonzero(start + windows + window - 1 <= words.first[doc + 1])
+    found = words.digests(start[inside], windows[inside] + window - 1)
+    own = inside[(found[:, 0] == r1[inside]) & (found[:, 1] == r2[inside])]
+    row = np.repeat(own, windows[own])
+    bit = np.arange(len(row)) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
+    repeats = (again[row] >> bit & 1).astype(bool)
+    row, bit = row[repeats], bit[repeats]
+    at = start[row] + bit
+    order = np.argsort(at, kind="stable")
+    at, row, bit = at[order], row[order], bit[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (ends[row[:-1]] >> bit[:-1] & 1).astype(bool) | (doc[row[1:]] != doc[row[:-1]])
+    head = np.flatnonzero(new)
+    return doc[row[head]], at[head], np.diff(np.append(head, len(at)))
 
 
 def _each(docs: DataFrame, window: int, mer: int, schema: str, of) -> DataFrame:
-    """of(doc_ids, texts, words, spans of each text) for slices of all rows of docs."""
+    """of(doc_ids, texts, words, spans) for slices of all rows of docs."""
     found = repeated_runs(docs, window, Scratch(docs.sparkSession, "substrings", docs), mer)
 
     def run(batches):
         for part, texts in slices(batches, "text"):
             words = Words(texts)
-            spans = [path_spans(own, words, i, window) if own else [] for i, own in enumerate(part.column(2).to_pylist())]
-            yield of(part.column(0), texts, words, spans)
+            yield of(part.column(0), texts, words, path_spans(part.column(2), words, window))
 
     rows = docs.select(F.col("doc_id").cast("long"), *row_key(), "text").join(found, ["_k", "_t"], "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(tidy(run), schema)
@@ -196,11 +215,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, mer: int = 12) -> DataFram
     """
 
     def rows(doc_ids, texts, words, spans):
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
-        start, windows = np.array([y for x in spans for y in x], dtype=np.int64).reshape(-1, 2).T
+        doc, at, windows = spans
         n = windows + window - 1
-        h = words.digests(words.first[doc] + start, n)
-        return _record({"doc_id": doc_ids.take(pa.array(doc)), "start": pa.array(start), "n_words": pa.array(n), "h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1])})
+        h = words.digests(at, n)
+        return _record({"doc_id": doc_ids.take(pa.array(doc)), "start": pa.array(at - words.first[doc]), "n_words": pa.array(n), "h1": pa.array(h[:, 0]), "h2": pa.array(h[:, 1])})
 
     return _each(docs, window, mer, "doc_id long, start long, n_words long, h1 long, h2 long", rows)
 
@@ -215,22 +233,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, mer: int = 12) -> DataFram
     """
 
     def rows(doc_ids, texts, words, spans):
-        sizes = np.diff(words.first)
-        doc = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
-        start, windows = np.array([y for x in spans for y in x], dtype=np.int64).reshape(-1, 2).T
-        edge = np.zeros(len(words.all) + 1, dtype=np.int64)
-        np.add.at(edge, words.first[doc] + start, 1)
-        np.add.at(edge, words.first[doc] + start + windows + window - 1, -1)
-        gone = np.cumsum(edge)[:-1] > 0
-        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
-        kept = []
-        for i, n in enumerate(removed.tolist()):
-            a, b = int(words.first[i]), int(words.first[i + 1])
-            if n:
-                kept.append(b" ".join([words.all[j] for j in (a + np.flatnonzero(~gone[a:b])).tolist()]))
-            else:
-                kept.append(bytes(words.flat[int(words.byte[a]) : int(words.byte[b]) - 1]) if b > a else b"")
-        texts = pa.array(kept, pa.binary()).cast(pa.string())
-        return _record({"doc_id": doc_ids, "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": texts})
+        _, at, windows = spans
+        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + windows + window - 1, -1)
+        stays = np.cumsum(edge)[:-1] == 0
+        left = np.concatenate([[0], np.cumsum(stays)])[words.first]
+        length = np.diff(words.byte)
+        kept = words.bytes[np.repeat(stays, length)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(np.where(stays, length, 0))])[words.first].tolist()
+        texts = pa.array([kept[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:])], pa.binary()).cast(pa.string())
+        n = np.diff(words.first)
+        return _record({"doc_id": doc_ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(left), pa.int64()), "kept": texts})
 
     return _each(docs, window, mer, "doc_id long, n_words long, n_removed long, kept string", rows)
