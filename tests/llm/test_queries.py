@@ -113,7 +113,7 @@ def test_mixing(spark, odd, raw):
             assert r.source_size == sizes[by_id[r.doc_id]]
         taken[r.target] += r.taken
     for target, n in taken.items():
-        assert abs(n - target) <= 0.02 * target + 40
+        assert abs(n - target) <= 0.001 * target + 2
 
 
 def lexical(s):

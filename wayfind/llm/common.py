@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark's rule for words, in Java syntax: runs of anything but ASCII white space.
@@ -121,6 +121,15 @@ def row_key(text: str = "text", doc_id: str = "doc_id", *more: str) -> list[Colu
     ]
 
 
+def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """Every row of df with _nth, its place from 0 in the given order: ranges of rows are counted apart, and only their counts reach the driver."""
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), name)
+    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one row a partition
+    first = [sum(c for q, c in counts.items() if q < p) for p in range(max(counts, default=0) + 1)]
+    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn("_nth", nth + F.element_at(F.lit(first), F.col("_p") + 1)).drop("_p")
+
+
 def carried(docs: DataFrame, *more: Column) -> DataFrame:
     """_row (a struct of all columns, whatever their names), _k, _t, and more."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *row_key(), *more)
