@@ -51,7 +51,7 @@ def newton(hist: DataFrame, state: DataFrame, most: float) -> DataFrame:
     rate = F.least(F.lit(most), F.exp(F.least(F.col("v") * x, F.lit(50.0))))
     words = F.col("docs") * F.col("size") * rate
     kept = ["source_size", "target", "scale", "v", "low", "high", "done"]
-    at = hist.join(state, ["_s", "_n"]).groupBy("_s", "_n").agg(F.sum(words).alias("taken"), F.sum(F.when(rate < most, words * x).otherwise(0.0)).alias("slope"), *[F.first(c).alias(c) for c in kept])
+    at = hist.join(state.hint("shuffle_hash"), ["_s", "_n"]).groupBy("_s", "_n").agg(F.sum(words).alias("taken"), F.sum(F.when(rate < most, words * x).otherwise(0.0)).alias("slope"), *[F.first(c).alias(c) for c in kept])
     miss = F.col("taken") - F.col("target")
     at = at.withColumn("done", F.col("v").isNull() | F.col("done") | (F.abs(miss) <= 1e-9 * F.col("target")))
     at = at.withColumns({"low": F.when(miss <= 0, F.col("v")).otherwise(F.col("low")), "high": F.when(miss > 0, F.col("v")).otherwise(F.col("high"))})
@@ -111,12 +111,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     named = hist.groupBy("_s", "_n").agg(F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("size")).alias("source_size")).withColumn("source", F.when(~F.col("_n"), F.col("_s")))
     aim = targets(scratch.keep(named, "named"), weights, share, most, scratch)
     tilt = tilts(hist, aim, float(most), scratch).select("_s", "_n", "source_size", "target", "scale", "v")
-    solved = hist.join(tilt, ["_s", "_n"]).groupBy("_s", "_n").applyInPandas(lambda pdf: copies_of_sizes(pdf, most), "_s string, _n boolean, size long, docs long, source_size long, target double, total long")
+    solved = hist.join(tilt.hint("shuffle_hash"), ["_s", "_n"]).groupBy("_s", "_n").applyInPandas(lambda pdf: copies_of_sizes(pdf, most), "_s string, _n boolean, size long, docs long, source_size long, target double, total long")
     solved = scratch.keep(solved, "solved")
     # odd copies per salted group: running counts over the groups of a size fix each group's part
     salts = F.ceil(F.col("docs") / F.greatest(F.lit(float(group_rows)), F.sqrt("docs")))
     # a table with a row for every size of a source isn't one to broadcast; hot sizes are split as the join reads them
-    joined = rows.join(solved.hint("merge"), ["_s", "_n", "size"]).withColumn("_salt", F.pmod("_h", salts))
+    joined = scratch.keep(rows.join(solved.hint("merge"), ["_s", "_n", "size"]).withColumn("_salt", F.pmod("_h", salts)), "joined")
+    scratch.drop("rows")
     groups = joined.groupBy("_s", "_n", "size", "_salt").agg(F.count("*").alias("count"), F.first("docs").alias("docs"), F.first("total").alias("total"))
     run = Window.partitionBy("_s", "_n", "size").orderBy("_salt")
     groups = groups.withColumns({"upto": F.sum("count").over(run), "odd": F.col("total") % F.col("docs")})
