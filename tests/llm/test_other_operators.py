@@ -83,7 +83,7 @@ def test_rules(spark):
 
 
 def test_template_tree(spark):
-    """Labels decide templates: a host's spam branch goes, its articles stay, many literal names fold into one, and urls without a labelled relative stay."""
+    """Labels decide templates: a host's spam branch goes, its articles stay, many literal names fold into one; the same path on a host without labels goes with those of other hosts, and a path without a labelled relative stays."""
     pages, labels = [], []
     for i in range(300):
         pages.append((3 * i, f"http://a.com/spam/{i}.html"))
@@ -91,16 +91,25 @@ def test_template_tree(spark):
         pages.append((3 * i + 2, f"http://b.com/user/name{chr(97 + i % 26)}{'xyz'[i % 3]}/offer"))
         labels += [(f"http://a.com/spam/{i}.html", 1), (f"http://a.com/news/{i}.html", 0)] if i % 10 == 0 else []
         labels += [(pages[-1][1], 1)] if i % 4 == 0 else []
-    pages.append((2000, "http://c.com/spam/1.html"))
+    pages += [(2000, "http://c.org/spam/1.html"), (2001, "http://c.org/other/1.html"), (2002, "http://c.org/news/2.html")]
     df = spark.createDataFrame(pages, "page_id long, url string")
     got = {r.page_id: r for r in url_filter.judge(df, [], labels=spark.createDataFrame(labels, "url string, bad int"), reject=0.8).collect()}
     assert len(got) == len(pages)
     for i in range(300):
         assert got[3 * i].verdict == "block" and got[3 * i + 1].verdict == "allow" and got[3 * i + 2].verdict == "block"
-    assert got[2000].verdict == "allow"
+    assert [got[i].verdict for i in (2000, 2001, 2002)] == ["block", "allow", "allow"]
     assert len({got[3 * i + 2].template for i in range(300)}) == 1
 
 
+def test_branches_merge_only_with_their_like(spark):
+    """Of three branches, two are alike and the third, though like their pool in between, is not; equal rates of 0 and 1 never merge."""
+    labels = [(f"http://h.com/{name}/{i}", int(i < bad)) for name, bad in (("a", 0), ("b", 2), ("c", 60), ("d", 200), ("e", 197)) for i in range(200)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labels)], "page_id long, url string")
+    out = url_filter.judge(df, [], labels=spark.createDataFrame(labels, "url string, bad int")).collect()
+    assert {(r.path.split("/")[1], r.template.split("/")[1]) for r in out} == {("a", "{~a}"), ("b", "{~a}"), ("c", "c"), ("d", "{~d}"), ("e", "{~d}")}
+    assert {r.verdict for r in out if r.path[1] in "de"} == {"block"} and {r.verdict for r in out if r.path[1] in "abc"} == {"allow"}
+
+
 def test_warc(spark, tmp_path):
     long, other = "ä" * 60, "line\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n" * 4
     rows = [(5, "http://a/", long), (2, "http://b/\r\nX: y", long), (9, None, long), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", other), (8, "v", other), (None, "n", long)]

@@ -124,51 +124,67 @@ def lexical(s):
     return re.sub(r"[0-9]+", "{n}", s)
 
 
+def brute_merges(branches, fanout, z):
+    """{name: merged name} of one parent's branches {name: (labelled, bad)}."""
+    out = {}
+    if sum(not x.startswith("{") for x in branches) > fanout:
+        out = {x: "{*}" for x in branches if not x.startswith("{")}
+    rates = sorted(((b + 1) / (n + 2), x, n) for x, (n, b) in branches.items() if n and x not in out)
+    groups = []
+    for r, x, n in rates:
+        var = r * (1 - r) / (n + 2)
+        if groups and r - groups[-1][0][0] <= z * math.sqrt(var + groups[-1][0][2]):
+            groups[-1].append((r, x, var))
+        else:
+            groups.append([(r, x, var)])
+    for g in groups:
+        if len(g) > 1:
+            out |= {x: "{~" + min(y for _, y, _ in g) + "}" for _, x, _ in g}
+    return out
+
+
 def brute_tree(pages, depth=6, fanout=50, z=1.96, weight=5.0, reject=0.9):
-    leaves = defaultdict(lambda: [0, 0])
     judged = [(i, *brute_rule(u)) for i, u in pages]
     key = lambda path: tuple([lexical(s) for s in path.split("/")][:depth]) + (("{*}",) if path.count("/") >= depth else ())
-    for _, host, path, _, verdict in judged:
-        leaf = leaves[host, key(path)]
-        leaf[0] += verdict is not None
-        leaf[1] += verdict == "block"
-    tpl = {k: list(k[1]) for k in leaves}
+    urls = [(host, key(path), verdict) for _, host, path, _, verdict in judged]
+    tpl = {(host, seg): list(seg) for host, seg, _ in urls}
     for level in range(1, depth):
-        branch = defaultdict(lambda: [0, 0])
-        for (host, seg), t in tpl.items():
+        branches = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for host, seg, verdict in urls:
+            t = tpl[host, seg]
             if len(t) > level:
-                b = branch[host, tuple(t[:level]), t[level]]
-                b[0] += leaves[host, seg][0]
-                b[1] += leaves[host, seg][1]
-        total, kids = defaultdict(lambda: [0, 0]), Counter()
-        for (host, parent, here), (n, bad) in branch.items():
-            total[host, parent][0] += n
-            total[host, parent][1] += bad
-            kids[host, parent] += not here.startswith("{")
+                b = branches[host, tuple(t[:level])][t[level]]
+                b[0] += verdict is not None
+                b[1] += verdict == "block"
+        merges = {at: brute_merges(b, fanout, z) for at, b in branches.items()}
         for (host, _), t in tpl.items():
             if len(t) > level:
-                at, here = (host, tuple(t[:level])), t[level]
-                (n, bad), (all_n, all_bad) = branch[*at, here], total[at]
-                if not here.startswith("{") and kids[at] > fanout:
-                    t[level] = "{*}"
-                elif 0 < n < all_n:
-                    p = all_bad / all_n
-                    if abs(bad / n - (all_bad - bad) / (all_n - n)) <= z * math.sqrt(p * (1 - p) * (1 / n + 1 / (all_n - n))):
-                        t[level] = "{~}"
+                t[level] = merges[host, tuple(t[:level])].get(t[level], t[level])
+    domain = lambda host: ".".join(host.split(".")[-2:])
     pools = defaultdict(lambda: [0, 0])
-    for (host, seg), t in tpl.items():
-        pools[host, tuple(t)][0] += leaves[host, seg][0]
-        pools[host, tuple(t)][1] += leaves[host, seg][1]
-    prior = sum(v[1] for v in leaves.values()) / max(1, sum(v[0] for v in leaves.values()))
+    for host, seg, verdict in urls:
+        whole = (*seg, "$")
+        for at in ["all", ("host", host, tuple(tpl[host, seg])), ("domain", domain(host), seg), *(("path", "/".join(whole[:i])) for i in range(2, len(whole) + 1))]:
+            pools[at][0] += verdict is not None
+            pools[at][1] += verdict == "block"
     out = []
-    for i, host, path, rule, verdict in judged:
-        t = tpl[host, key(path)]
-        n, bad = pools[host, tuple(t)]
-        purity = (bad + weight * prior) / (n + weight)
+    for (i, host, path, rule, verdict), (_, seg, _) in zip(judged, urls):
+        whole, t = (*seg, "$"), tpl[host, seg]
+        purity = pools["all"][1] / max(1, pools["all"][0])
+        for at in [*(("path", "/".join(whole[:j])) for j in range(2, len(whole) + 1)), ("domain", domain(host), seg), ("host", host, tuple(t))]:
+            n, bad = pools[at]
+            purity = (bad + weight * purity) / (n + weight)
         out.append((i, host, path, rule, verdict or ("block" if purity >= reject else "allow"), "/".join(t), round(purity, 9)))
     return out
 
 
+def test_url_filter_tells_urls_without_rule_apart(spark):
+    """In the registered query, labels of other hosts reach urls that no rule decides: some are blocked, others are not."""
+    out = queries.op2_url_filter(spark, "/root/testdata/sf0.01").where("rule is null")
+    assert {r.verdict for r in out.select("verdict").distinct().collect()} == {"allow", "block"}
+    assert out.selectExpr("round(purity, 6)").distinct().count() >= 5
+
+
 def test_url_filter(spark, odd):
     pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{odd}/pages.parquet").collect()]
     got = [(*tuple(r)[:6], round(r.purity, 9)) for r in queries.op2_url_filter(spark, odd).select("page_id", "host", "path", "rule", "verdict", "template", "purity").collect()]
