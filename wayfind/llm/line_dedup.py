@@ -1,13 +1,14 @@
 """Line deduplication over the whole corpus. DataFrame functions only.
 
 Lines leave their documents as hashes: (hash, document, position) rows are range-partitioned by hash and document, so a line
-that fills a third of the corpus spreads over many ranges, and sorted within them. Each range gives one row per line and
-document; what is counted across ranges is combined before it moves. The result is one compressed bitmap per document that loses lines.
+that fills a third of the corpus spreads over many ranges, and sorted within them by document and position. One pass over a
+range marks the first occurrence in each document; only these are counted, combined before they move. The
+result is one compressed bitmap per document that loses lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import Scratch, carried, row_key, uncarried
@@ -37,10 +38,12 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sc
     rows = long_lines.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2"), "_k", "_t", "pos")
     # finding the ranges reads the rows once more: written, they are read and not taken from the texts again
     rows = scratch.keep(rows, "lines", "none")
-    rows = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("_k").desc()).sortWithinPartitions("h1", "h2", F.desc("_k"), "pos")
-    rows = scratch.keep(rows, "occurrences")
+    rows = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("_k").desc())
+    # all occurrences of a line in a document are in one range: the window streams over it in order and moves nothing
+    nth = F.row_number().over(Window.partitionBy("h1", "h2", "_k").orderBy("_t", "pos"))
+    rows = scratch.keep(rows.withColumn("first", nth == 1), "occurrences")
     scratch.drop("lines")
-    common = rows.groupBy("h1", "h2").agg(F.count_distinct("_k").alias("docs"), F.max("_k").alias("owner")).where(F.col("docs") >= least_docs)
+    common = rows.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("_k").alias("owner")).where(F.col("docs") >= least_docs)
     # written, so that both sides of the join are plain shuffles, whose hot lines can be split
     common = scratch.keep(common, "common")
     gone = rows.join(common, ["h1", "h2"]).where(F.col("_k") != F.col("owner"))
@@ -50,11 +53,10 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, sc
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """_row (see carried), n_lines, n_dropped and kept (the text without the dropped lines) of every row."""
-    words = F.sequence(F.lit(0), F.array_max(F.transform("keep", lambda x: x["word"])))
-    dense = F.transform(words, lambda w: F.coalesce(F.element_at(F.map_from_entries("keep"), w), F.lit(-1).cast("long")))
-    at = carried(docs, lines_of(F.col("text")).alias("_lines")).join(bitmaps.select("_k", "_t", dense.alias("_bits")), ["_k", "_t"], "left")
-    kept = F.expr("filter(_lines, (x, i) -> coalesce(shiftright(get(_bits, i div 64), cast(i % 64 as int)) & 1L, 1L) = 1L)")
-    kept = F.when(F.col("_bits").isNull(), F.col("_lines")).otherwise(kept)
+    gone = F.expr("flatten(transform(keep, w -> transform(filter(sequence(0, 63), b -> (shiftright(w.bits, b) & 1L) = 0), b -> 64 * w.word + b)))")
+    at = carried(docs, lines_of(F.col("text")).alias("_lines")).join(bitmaps.select("_k", "_t", gone.alias("_gone")), ["_k", "_t"], "left")
+    kept = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i))")
+    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept)
     size = F.size("_lines").cast("long")
     return at.withColumn("_left", kept).select("_row", size.alias("n_lines"), (size - F.size("_left")).alias("n_dropped"), F.array_join("_left", "\n").alias("kept"))
 
@@ -70,6 +72,6 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the shortened texts, n_chars brought in line where it is there."""
+    """docs with the shortened texts, n_chars brought in line where it is there. What dedup_lines says of nulls, ties, repeated rows and empty tables holds here; a null text comes back empty."""
     done = dedup_lines(docs, **options)
     return done.select(*uncarried(done, docs, text=F.col("kept"), n_chars=F.length("kept").cast("long")))
