@@ -28,7 +28,7 @@ def test_topk(spark):
                     best[j] = max(best.get(j, -(2**63)), sum(a * b for a, b in zip(v, w)))
         expected += [(q, n + 1, j, best[j]) for n, j in enumerate(sorted(best, key=lambda j: (-best[j], j))[:10])]
     df = spark.createDataFrame(rows, VECTORS).repartition(3)
-    for options in ({}, {"tile_rows": 16, "query_rows": 2, "shard_rows": 30, "fanin": 3}):
+    for options in ({}, {"tile_rows": 16, "query_rows": 2, "shard_bytes": 2000, "part_bytes": 500, "fanin": 3}):
         got = exact_topk.exact_topk(df, df.where("vec_id % 50 = 0"), **options)
         assert sorted(map(tuple, got.collect())) == sorted(expected)
     empty = spark.createDataFrame([], VECTORS)
@@ -58,6 +58,15 @@ def test_topk_large_components(spark):
     assert got[0, 1] == int(3e9) * int(2e9) - 5 and got[0, 2] == -3 * 10**18 + 10**12 and got[1, 2] == -2 * 10**18 - 5 * 10**12
 
 
+def test_topk_of_large_ids_and_components(spark):
+    """Ids near the ends of a long, and finite components that overflow when scaled, take part."""
+    big = 2**63 - 1
+    rows = [(big, [1.0, 0.0], 0), (-big, [0.5, 0.0], 0), (2**62, [1e308, 0.0], 0), (7, [-1e308, 0.0], 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = [tuple(r) for r in exact_topk.exact_topk(df, df.where(f"vec_id = {big}")).collect()]
+    assert got == [(big, 1, 2**62, 2**63 - 1), (big, 2, -big, 1024 * 512), (big, 3, 7, -(2**63))]
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -153,6 +162,19 @@ def test_chats(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """A conversation of many turns takes one pass: 20,000 turns and some large texts in seconds."""
+    import time
+
+    rows = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat(concat('ä<|im_end|>', id, ' '), if(id % 5000 = 1, 20000, 3)) as text")
+    began = time.time()
+    back = chat_format.read_chats(chat_format.format_chats(rows))
+    r = back.selectExpr("size(turns) as n", "aggregate(loss_texts, 0L, (a, x) -> a + length(x)) as loss", "turns[5001].text as text", "loss_texts[2500] as own").first()
+    assert r.n == 20_000 and r.text == r.own == "ä<|im_end|>5001 " * 20_000
+    assert r.loss == sum(len(f"ä<|im_end|>{i} ") * (20_000 if i % 5000 == 1 else 3) for i in range(1, 20_000, 2))
+    assert time.time() - began < 60
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -13,21 +13,25 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import tidy
 
 TILE = "tile long, n long, dim long, ids binary, matrix binary"
+TILE_BYTES = 16 << 20
+LARGEST = float(np.finfo(np.float64).max)
 HITS = "query_id long, vec_id long, score long, shard long"
 
 
-def _pack(ids: np.ndarray, matrix: np.ndarray, rows: int, seed: int) -> pa.RecordBatch:
+def _pack(ids: np.ndarray, matrix: np.ndarray, rows: int) -> pa.RecordBatch:
     out = []
+    rows = max(1, min(rows, TILE_BYTES // (8 * max(1, matrix.shape[1]))))
     for at in range(0, len(ids), rows):
         part = np.ascontiguousarray(matrix[at : at + rows])
         own = np.ascontiguousarray(ids[at : at + rows])
-        out.append((int(own[0]) * 1_000_003 + seed + at, len(own), part.shape[1], own.tobytes(), part.tobytes()))
+        out.append((xxhash.xxh3_64_intdigest(own.tobytes()) >> 1, len(own), part.shape[1], own.tobytes(), part.tobytes()))
     names = [x.split()[0] for x in TILE.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
@@ -46,12 +50,12 @@ def tiles(vectors: DataFrame, vec_id: str, embedding: str, scale: float, rows: i
                 taken = column.take(pa.array(at))
                 flat = taken.flatten().cast(pa.float64())
                 x = np.asarray(flat.fill_null(math.nan)).reshape(len(at), int(dim))
-                with np.errstate(all="ignore"):
-                    x = np.floor(scale * x)
                 good = np.isfinite(x).all(axis=1)
+                with np.errstate(all="ignore"):  # a finite component that overflows is the largest double of its sign
+                    x = np.clip(np.floor(scale * x), -LARGEST, LARGEST)
                 if good.any():
                     own = np.asarray(ids.take(pa.array(at)).cast(pa.int64()))[good]
-                    yield _pack(own, x[good], rows, int(dim))
+                    yield _pack(own, x[good], rows)
 
     return vectors.select(F.col(vec_id).cast("long"), F.col(embedding).cast("array<double>")).mapInArrow(tidy(pack), TILE)
 
@@ -104,8 +108,8 @@ def exact_topk(
     embedding: str = "embedding",
     tile_rows: int = 2048,
     query_rows: int = 1024,
-    shard_rows: int = 131_072,
-    part_rows: int = 65_536,
+    shard_bytes: int = 128 << 20,
+    part_bytes: int = 64 << 20,
     fanin: int = 16,
 ) -> DataFrame:
     """The k best candidates of every query: query_id, rank (from 1), vec_id, score.
@@ -115,12 +119,13 @@ def exact_topk(
     once per query, with their best score. Ties go to the smaller id. Scores beyond 64 bits saturate. An empty table, or
     one without a usable query, gives no rows. Other columns of the tables are ignored.
     """
-    n, q = vectors.count(), queries.count()
-    shards = max(1, math.ceil(n / shard_rows), min(6, math.ceil(n / tile_rows)))
-    parts = max(1, math.ceil(q / part_rows))
+    held = [F.count("*"), F.sum(F.greatest(F.size(embedding), F.lit(1)).cast("long"))]
+    (n, size), (_, asked) = vectors.agg(*held).first(), queries.agg(*held).first()
+    shards = max(1, math.ceil(8 * (size or 0) / shard_bytes), min(6, math.ceil(n / tile_rows)))
+    parts = max(1, math.ceil(8 * (asked or 0) / part_bytes))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     own = lambda k: F.pmod(F.xxhash64("tile", "dim"), F.lit(k))
-    # a grid of tasks: each has one shard of the candidates and one part of the queries, both bounded
+    # a grid of tasks: each has one shard of the candidates and one part of the queries, both bounded in bytes
     cand = tiles(vectors, vec_id, embedding, scale, tile_rows).withColumn("shard", own(shards)).withColumn("part", every(parts))
     blocks = tiles(queries, vec_id, embedding, scale, query_rows).withColumn("part", own(parts)).withColumn("shard", every(shards))
 
