@@ -139,10 +139,23 @@ def test_warc(spark, tmp_path):
     warc_store.write_archive(df, str(tmp_path / "archive"))
     stored = spark.read.parquet(str(tmp_path / "archive/payloads"))
     assert stored.count() == len({(r[2] or "") for r in rows})
-    warc_store.write_warc_files(out.where("page_id = 7").coalesce(1), str(tmp_path / "files"))
-    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
-    head, body = text.split(b"\r\n\r\n", 1)
-    assert head.startswith(b"WARC/1.1\r\n") and body == other.encode() + b"\r\n\r\n"
+    warc_store.write_warc_files(spark, str(tmp_path / "archive"), str(tmp_path / "files"))
+    data, records = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*"))), []
+    while data:  # as any reader of WARC does: header, then as many bytes as it says
+        head, rest = data.split(b"\r\n\r\n", 1)
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        size = int(fields[b"Content-Length"])
+        assert head.startswith(b"WARC/1.1\r\n") and fields[b"WARC-Date"] and rest[size : size + 4] == b"\r\n\r\n"
+        records.append((fields, rest[:size], head.decode() + "\r\n"))
+        data = rest[size + 4 :]
+    assert Counter(h for _, _, h in records) == Counter(r.header for r in out.collect())
+    kinds = Counter((r.record_type, r.payload_digest) for r in out.collect())
+    assert kinds == Counter((f[b"WARC-Type"].decode(), f[b"WARC-Payload-Digest"].decode()[7:]) for f, _, _ in records)
+    for fields, block, _ in records:
+        if fields[b"WARC-Type"] == b"revisit":
+            assert block == b"" and fields[b"WARC-Refers-To"].startswith(b"<urn:page:")
+        else:
+            assert hashlib.sha256(block).hexdigest() == fields[b"WARC-Payload-Digest"].decode()[7:]
     assert warc_store.round_trip(df.limit(0)).count() == 0
 
 
