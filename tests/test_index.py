@@ -136,6 +136,45 @@ def test_feed(spark, tmp_path):
     assert {r.doc_id for r in current(spark, str(tmp_path / "index")).postings.collect()} == {"b"}
 
 
+def test_changes_count_in_order_of_arrival(spark, tmp_path):
+    """delete then index keeps a document, index then delete does not, whatever their JSON; in files, standard input and the feed."""
+    from wayfind.sources.store import DocumentStore
+    from wayfind.streaming.feed import apply_feed, current
+
+    lines = [{**DOC, "_id": "x", "_action": "delete"}, {**DOC, "_id": "x", "name": "back again"}, {**DOC, "_id": "y", "name": "zz"}, {**DOC, "_id": "y", "name": "aa", "_action": "update"}, {**DOC, "_id": "z"}, {**DOC, "_id": "z", "_action": "delete"}]
+    for k, order in enumerate((lines, lines[::-1])):
+        last = {x["_id"]: x for x in order}
+        want = sorted((i, x["name"] if isinstance(x["name"], str) else x["name"][0]) for i, x in last.items() if x.get("_action") != "delete")
+        at = tmp_path / str(k)
+        (at / "in").mkdir(parents=True)
+        (at / "in/1.json").write_text("\n".join(map(json.dumps, order)))
+        for name, changes in (("file", readers.read_json_lines(spark, str(at / "in/1.json"))), ("stdin", readers.read_stdin(spark, map(json.dumps, order)))):
+            stored = DocumentStore(spark, str(at / name)).apply(changes)
+            assert "arrival" not in stored.columns and sorted((r.doc_id, r.name[0]) for r in stored.collect()) == want
+        apply_feed(spark.readStream.text(str(at / "in")), str(at / "index"), str(at / "checkpoint")).awaitTermination(120)
+        assert sorted((r.doc_id, r.name[0]) for r in current(spark, str(at / "index")).documents.collect()) == want
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from wayfind import __main__ as cli
+    from wayfind.operators.index import Index
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    (tmp_path / "a.json").write_text(json.dumps(DOC))
+    home = str(tmp_path / "home")
+    assert cli.main(["--home", home, "batch", str(tmp_path / "none.json")]) == 1 and "no such file" in capsys.readouterr().err
+    assert cli.main(["--home", home, "batch", "--no-ngrams", str(tmp_path / "a.json")]) == 0
+    assert Index.read(spark, f"{home}/index").edge_ngrams.count() == 0
+    assert cli.main(["--home", home, "ngrams"]) == 0
+    assert Index.read(spark, f"{home}/index").edge_ngrams.where("prefix = 'lil'").count() == 1
+
+
+def test_settings_of_plugins_come_before_the_file(tmp_path):
+    (tmp_path / "c.py").write_text("BUCKET_MAX = 50\n")
+    got = load_config(str(tmp_path / "c.py"), env={}, defaults={"bucket_max": 7, "min_score": 0.5})
+    assert (got.bucket_max, got.min_score) == (50, 0.5)
+
+
 def test_config(tmp_path):
     (tmp_path / "syn").write_text("# c\ncba => abc\nxzy, zyx, => xyz\n")
     (tmp_path / "c.py").write_text(f"BUCKET_MAX = 50\nFILTERS = ['type']\nSYNONYMS_PATH = {str(tmp_path / 'syn')!r}\nlower = 1\n")

@@ -21,6 +21,8 @@ def test_analysis_is_that_of_plain_python(spark):
             assert (r.n, r.f) == (norm(r.t), fold(r.t))
         assert len(r.a) == len(toks(r.t))
     folded = dict(df.select("t", text.fold(F.col("t"))).collect())
+    other = spark.createDataFrame([("Αθήνα",), ("Ψυχή",), ("Москва",), ("Щёлково",), ("東京 X",)], "t string")
+    assert [r[0] for r in other.select(text.fold(F.col("t"))).collect()] == ["athena", "psukhe", "moskva", "shchelkovo", "東京 x"]
     assert folded["Æther Ørsted Łódź Đà"] == "aether orsted lodz da" and folded["Straße 12"] == "strasse 12" and folded["Erispœ"] == "erispoe"
 
 

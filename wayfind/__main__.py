@@ -9,11 +9,11 @@ from wsgiref.simple_server import make_server
 from pyspark.sql import SparkSession
 
 from wayfind.config import load_config
-from wayfind.operators.index import Index, build
+from wayfind.operators.index import Index, build, edge_ngram_table
 from wayfind.plans.search import Engine
 from wayfind.plugins import Plugins
 from wayfind.sources import readers, sinks
-from wayfind.sources.store import DocumentStore
+from wayfind.sources.store import DocumentStore, exists
 
 
 def main(args: list[str] | None = None) -> int:
@@ -21,9 +21,10 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--config", help="a Python file with settings")
     parser.add_argument("--home", default="wayfind-data", help="the folder of documents and index")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, what in (("batch", "read JSON lines, CSV or msgpack files, or standard input"), ("search", "answer a query"), ("shell", "answer lines of standard input"), ("reset", "delete documents and index"), ("serve", "answer HTTP")):
+    for name, what in (("batch", "read JSON lines, CSV or msgpack files, or standard input"), ("search", "answer a query"), ("shell", "answer lines of standard input"), ("ngrams", "make the index's edge n-grams anew"), ("reset", "delete documents and index"), ("serve", "answer HTTP")):
         sub.add_parser(name, help=what)
     sub.choices["batch"].add_argument("path", nargs="*")
+    sub.choices["batch"].add_argument("--no-ngrams", action="store_true", help="leave edge n-grams to the ngrams command")
     sub.choices["search"].add_argument("query")
     sub.choices["reset"].add_argument("--force", action="store_true")
     sub.choices["serve"].add_argument("--port", type=int, default=7878)
@@ -34,7 +35,9 @@ def main(args: list[str] | None = None) -> int:
     plugins.load()
     plugins.call("register_command", sub)
     got = parser.parse_args(args)
-    config = load_config(got.config)
+    defaults: dict = {}
+    plugins.call("preconfigure", defaults)
+    config = load_config(got.config, defaults=defaults)
     for changed in plugins.call("configure", config):
         config = changed or config
     spark = SparkSession.builder.appName("wayfind").getOrCreate()
@@ -45,14 +48,24 @@ def main(args: list[str] | None = None) -> int:
         store.reset()
         DocumentStore(spark, at).reset()
         return 0
+    if got.command == "ngrams":
+        index = Index.read(spark, at)
+        index.write_table("edge_ngrams", edge_ngram_table(index.token_stats, config), at)
+        return 0
     if got.command == "batch":
+        if missing := [p for p in got.path if not exists(spark, p)]:
+            print(f"no such file: {', '.join(missing)}", file=sys.stderr)
+            return 1
         kinds = {".csv": readers.read_csv, ".msgpack": readers.read_msgpack}
         if got.path:
             for path in got.path:
                 store.apply(next((f for end, f in kinds.items() if path.endswith(end)), readers.read_json_lines)(spark, path, config))
         else:
             store.apply(readers.read_stdin(spark, sys.stdin, config))
-        build(store.read(), config).write(at)
+        index = build(store.read(), config)
+        if got.no_ngrams:
+            index.edge_ngrams = index.edge_ngrams.limit(0)
+        index.write(at)
         return 0
     engine = Engine(Index.read(spark, at), config)
     if got.command == "search":

@@ -106,8 +106,8 @@ def _typed(default, text: str):
     return text
 
 
-def load_config(path: str | None = None, env: dict[str, str] | None = None, prefix: str = "WAYFIND_", **overrides) -> EngineConfig:
-    """Defaults, then the upper-case names of the Python file at `path`, then PREFIX_NAME of the environment (as the default's type; tuples split on commas), then overrides. A file may add extra_fields and name a synonyms_path."""
+def load_config(path: str | None = None, env: dict[str, str] | None = None, prefix: str = "WAYFIND_", defaults: dict | None = None, **overrides) -> EngineConfig:
+    """Defaults (those given before the engine's own), then the upper-case names of the Python file at `path`, then PREFIX_NAME of the environment (as the default's type; tuples split on commas), then overrides. A file may add extra_fields and name a synonyms_path."""
     env = os.environ if env is None else env
     values: dict = {}
     known = {f.name: getattr(EngineConfig(), f.name) for f in fields(EngineConfig)}
@@ -120,4 +120,4 @@ def load_config(path: str | None = None, env: dict[str, str] | None = None, pref
     if synonyms_path := env.get(f"{prefix}SYNONYMS_PATH", synonyms_path):
         with open(synonyms_path) as lines:
             values["synonyms"] = load_synonyms(lines)
-    return replace(EngineConfig(), **(values | overrides))
+    return replace(EngineConfig(), **((defaults or {}) | values | overrides))

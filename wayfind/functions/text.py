@@ -15,6 +15,11 @@ TOKEN = r"[\p{L}\p{N}_]+"
 #: Letters that have no decomposition into a letter and marks.
 LETTERS = {
     "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ŧ": "t", "ĸ": "k", "ſ": "s",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r",
+    "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s",
+    "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ђ": "dj",
+    "ј": "j", "љ": "lj", "њ": "nj", "ћ": "ch", "џ": "dz",
 }
 TOK = "struct<tok:string,raw:string,pos:int,sub:int,kind:string>"
 
@@ -23,11 +28,11 @@ TOK = "struct<tok:string,raw:string,pos:int,sub:int,kind:string>"
 def fold_map() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Lower-case letters beyond ASCII with one ASCII letter (two strings, letter by letter), and those with several."""
     one, many = {}, {}
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x300, 0x370)]:
+    for code in [*range(0x80, 0x250), *range(0x1E00, 0x2000), *range(0x300, 0x460)]:
         c = chr(code)
         if c != c.lower() or unicodedata.category(c)[0] not in "LMN":
             continue
-        plain = LETTERS.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        plain = LETTERS[c] if c in LETTERS else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         plain = "".join(LETTERS.get(x, x) for x in plain).lower()
         if plain.isascii() and len(plain) <= 1:
             one[c] = plain
@@ -38,12 +43,13 @@ def fold_map() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def normalize(text: Column) -> Column:
-    """Lower-cased, without accents, ligatures taken apart."""
+    """Lower-cased, without accents, ligatures taken apart, Greek and Cyrillic in Latin letters; other scripts stay."""
     source, target, many = fold_map()
-    out = F.translate(F.lower(text), source, target)
-    for c, plain in many:
-        out = F.replace(out, F.lit(c), F.lit(plain))
-    return out
+    plain = F.translate(F.lower(text), source, target)
+    out = plain
+    for c, letters in many:
+        out = F.replace(out, F.lit(c), F.lit(letters))
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), out).otherwise(plain)
 
 
 def tokens_of(text: Column) -> Column:

@@ -95,14 +95,17 @@ class Index:
 
     def write(self, path: str, parts: int | None = None) -> None:
         """Parquet tables, sorted by the key that each is looked up by. A second column splits ranges inside a key, so that a token of half of all documents fills many files; a token's postings are in order of boost."""
+        for name in TABLES:
+            self.write_table(name, getattr(self, name), path, parts)
+
+    def write_table(self, name: str, df: DataFrame, path: str, parts: int | None = None) -> None:
         order = {
             "documents": ["doc_id"], "postings": ["token", F.desc("boost")], "token_stats": ["token"], "pairs": ["token", "other"], "edge_ngrams": ["prefix", "token"],
             "geo_cells": ["geohash", "doc_id"], "filters": ["name", "value", "doc_id"],
         }
-        for name in TABLES:
-            df, keys = getattr(self, name), order[name]
-            df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
-            df.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        keys = order[name]
+        df = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+        df.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Index:
@@ -116,7 +119,7 @@ def build(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Index:
     live = indexable(docs, config)
     post = postings(live, config)
     stats = token_stats(post)
-    return Index(docs, post, stats, pairs(post), edge_ngram_table(stats, config), geo_cells(live, config), filter_table(live, config))
+    return Index(docs.drop("arrival"), post, stats, pairs(post), edge_ngram_table(stats, config), geo_cells(live, config), filter_table(live, config))
 
 
 def apply_changes(index: Index, changes: DataFrame, config: EngineConfig = EngineConfig(), order: str | None = None) -> Index:

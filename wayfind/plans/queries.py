@@ -12,6 +12,7 @@ from wayfind.operators import inspect, retrieve
 from wayfind.operators import score as sc
 from wayfind.plans.places import config_for, place_queries, places
 from wayfind.plans.search import Engine, folder
+from wayfind.sources import sinks
 
 SYNONYMS = {"small": "little tiny", "hot": "warm"}
 _QUERIES: dict = {}
@@ -286,13 +287,13 @@ def doc_null_name_rejected(spark, sf_dir):
 
 # retrieval
 
-TWO_SQL = "q AS (SELECT key AS query_id, type, regexp_extract_all(lower(name), '[a-z]+') AS ts FROM places WHERE key % 7 = 0)"
+TWO_SQL = "q AS (SELECT key AS query_id, type, regexp_extract_all(lower(name), '[a-z]+') AS ts FROM places)"
 HITS_SQL = "k AS (SELECT query_id, type, len(list_distinct(ts)) AS n, unnest(list_distinct(ts)) AS token FROM q), h AS (SELECT query_id, doc_id, sum(boost) AS boost FROM k JOIN postings p USING (token) {0} GROUP BY query_id, n, doc_id HAVING count(*) = n)"
 TOP_SQL = "SELECT query_id, doc_id, round(boost, 10) AS boost, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boost DESC, doc_id DESC) AS rank FROM h) WHERE rank <= 10"
 
 
 def two_word_attempts(spark, sf_dir, filtered=False):
-    p = places(spark, sf_dir).where("cast(doc_id as bigint) % 7 = 0")
+    p = places(spark, sf_dir)
     fl = F.array(F.array(F.concat(F.lit("type="), F.get("type", F.lit(0))))) if filtered else F.array().cast("array<array<string>>")
     return p.select(F.col("doc_id").cast("long").alias("query_id"), F.lit(0).alias("no"), text.tokens_of(F.lower(F.get("name", F.lit(0)))).alias("toks"), F.lit(False).alias("geo"), fl.alias("fl"), F.lit(10).alias("cap"))
 
@@ -315,7 +316,8 @@ def zinter_filtered(spark, sf_dir):
 
 @query(f"""WITH {POSTINGS_SQL}, {TWO_SQL}, a AS (SELECT query_id, ts[1] AS token, list_distinct(ts) AS ts FROM q),
 t AS (SELECT query_id, ts, token, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY boost DESC, doc_id DESC) AS r FROM a JOIN postings USING (token)),
-f AS (SELECT query_id, doc_id, r FROM t WHERE r <= 51 AND (SELECT count(*) FROM postings p WHERE p.doc_id = t.doc_id AND list_contains(t.ts, p.token)) = len(ts))
+o AS (SELECT query_id, doc_id, r, len(ts) AS n, unnest(ts) AS token FROM t WHERE r <= 51),
+f AS (SELECT query_id, doc_id, r FROM o JOIN postings USING (token, doc_id) GROUP BY query_id, doc_id, r, n HAVING count(*) = n)
 SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS n FROM f) WHERE n <= 5""")
 def manual_scan(spark, sf_dir):
     return retrieve.manual_scan(_index(spark, sf_dir), two_word_attempts(spark, sf_dir).withColumn("wanted", F.lit(5)), rows=51)
@@ -365,7 +367,12 @@ def index_rank(spark, sf_dir):
     return inspect.index_rank(_index(spark, sf_dir)).select("token", "doc_id", rounded("boost").alias("boost"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT token, df FROM stats WHERE levenshtein(token, 'smal') = 1 AND token = 'small'")
+#: Swapped letters, a letter less, a neighbouring key, a letter more.
+NEAR_SMAL_SQL = r"""token IN ('msal', 'saml', 'smla', 'mal', 'sal', 'sml', 'sma') OR regexp_full_match(token, '[qzedxw]mal|s[lpu]al|sm[ezqop]l|sma[kom]')
+  OR (length(token) = 5 AND len(list_filter(range(1, 6), lambda i: left(token, i - 1) || substr(token, i + 1) = 'smal' AND substr(token, i, 1) BETWEEN 'a' AND 'z')) > 0)"""
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT token, df FROM stats WHERE ({NEAR_SMAL_SQL})")
 def fuzzy_index(spark, sf_dir):
     return inspect.fuzzy_index(_index(spark, sf_dir), "smal")
 
@@ -380,9 +387,9 @@ def pair_token(spark, sf_dir):
     return inspect.pair(_index(spark, sf_dir), "small")
 
 
-@query(f"WITH {PLACES_SQL}, {CELLS_SQL}, b AS (SELECT key, {BINS_SQL.format('lat', 'lon')} FROM places WHERE key % 50 = 0), {AROUND_SQL.format('key')} SELECT DISTINCT key AS query_id, c.doc_id FROM n JOIN c USING (x, y)")
+@query(f"WITH {PLACES_SQL}, {CELLS_SQL}, b AS (SELECT key, {BINS_SQL.format('lat', 'lon')} FROM places), {AROUND_SQL.format('key')} SELECT DISTINCT key AS query_id, c.doc_id FROM n JOIN c USING (x, y)")
 def geohash_members(spark, sf_dir):
-    p = places(spark, sf_dir).where("cast(doc_id as bigint) % 50 = 0")
+    p = places(spark, sf_dir)
     q = p.select(F.col("doc_id").cast("long").alias("query_id"), "lat", "lon", F.array().cast("array<array<string>>").alias("fl"))
     return retrieve.near(_index(spark, sf_dir), q)
 
@@ -417,10 +424,9 @@ def make_labels(spark, sf_dir):
     return sc.make_labels(sc.match_housenumber(scoring_rows(spark, sf_dir))).select("query_id", "doc_id", F.get("labels", F.lit(0)).alias("label"))
 
 
-@query(f"WITH {PLACES_SQL} SELECT doc_id, round(importance * 0.1::DOUBLE, 10) AS score FROM places")
+@query(f"{MATCH_SQL} SELECT query_id, doc_id, round(importance * 0.1::DOUBLE * CASE WHEN centered THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END, 10) AS score FROM mh")
 def score_importance(spark, sf_dir):
-    rows = places(spark, sf_dir)
-    return rows.select("doc_id", rounded(F.col("importance") * F.lit(EngineConfig().importance_weight)).alias("score"))
+    return scored(spark, sf_dir).select("query_id", "doc_id", rounded("importance_score").alias("score"))
 
 
 SCORED_SQL = f"{MATCH_SQL}, s AS (SELECT *, lower(label) AS a, q AS b FROM ml), {SIM_SQL.format(a=BIGRAMS.format('a'), b=BIGRAMS.format('b'))}, ng AS (SELECT *, {RATIO} AS str, {HAVERSINE.format('d_lat', 'd_lon', 'qlat', 'qlon')} AS km FROM m), sc AS (SELECT *, CASE WHEN km > 100 THEN 0.0 ELSE exp(-pow(km / 50, 2)) END * 0.1::DOUBLE AS geo FROM ng), fs AS (SELECT *, CASE WHEN centered THEN (importance * 0.1::DOUBLE * 0.1::DOUBLE + str * 0.9::DOUBLE + geo) / 1.2::DOUBLE ELSE (importance * 0.1::DOUBLE + str) / 1.1::DOUBLE END AS score FROM sc)"
@@ -466,7 +472,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def points(spark, sf_dir, filters=None, off=0.0001, limit=3):
-    p = places(spark, sf_dir).where("cast(doc_id as bigint) % 11 = 0")
+    p = places(spark, sf_dir)
     f = F.create_map(*[x for k, v in (filters or {}).items() for x in (F.lit(k), F.array(*map(F.lit, v)))]).cast("map<string,array<string>>") if filters else F.create_map().cast("map<string,array<string>>")
     return p.select(F.col("doc_id").cast("long").alias("query_id"), (F.col("lat") + off).alias("lat"), (F.col("lon") + off).alias("lon"), F.lit(limit).alias("limit"), f.alias("filters"))
 
@@ -477,7 +483,7 @@ def _reverse_sql(off: float, numbers: bool, only: bool = False, where: str = "")
     each = "SELECT doc_id, lat, lon, number, 0 AS o FROM hns"
     spots = each if only else f"{own} UNION ALL {each}" if numbers else own
     ring = "SELECT query_id, x + dx AS x, y + dy AS y FROM b, (SELECT unnest({0}) AS dx), (SELECT unnest({0}) AS dy)"
-    return f"""WITH {PLACES_SQL}, {CELLS_SQL}, q AS (SELECT key AS query_id, lat + {off}::DOUBLE AS qlat, lon + {off}::DOUBLE AS qlon FROM places WHERE key % 11 = 0),
+    return f"""WITH {PLACES_SQL}, {CELLS_SQL}, q AS (SELECT key AS query_id, lat + {off}::DOUBLE AS qlat, lon + {off}::DOUBLE AS qlon FROM places),
 b AS (SELECT query_id, {BINS_SQL.format('qlat', 'qlon')} FROM q), n1 AS ({ring.format('[-1, 0, 1]')}), n2 AS ({ring.format('[-2, -1, 0, 1, 2]')}),
 ok AS (SELECT DISTINCT doc_id FROM {'hns' if only else f'places {where}'}), m1 AS (SELECT DISTINCT query_id, doc_id FROM n1 JOIN c USING (x, y) JOIN ok USING (doc_id)),
 m AS (SELECT * FROM m1 UNION SELECT query_id, doc_id FROM n2 JOIN c USING (x, y) JOIN ok USING (doc_id) WHERE query_id NOT IN (SELECT query_id FROM m1)), e AS ({spots}),
@@ -557,11 +563,20 @@ def search_candidates(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "label", rounded("score").alias("score"), F.size("matched").alias("matched"))
 
 
-@query(f"""{MATCH_SQL} SELECT query_id, doc_id, json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', [round(d_lon, 4), round(d_lat, 4)]), 'label', label) AS feature FROM ml WHERE query_id % 10 = 0""")
+FEATURE = "from_json(feature, 'type string, geometry struct<type: string, coordinates: array<double>>, properties map<string, string>')"
+
+
+@query(f"""{SCORED_SQL} SELECT query_id, doc_id, 'Feature' AS kind, 'Point' AS shape, round(d_lon, 10) AS lon, round(d_lat, 10) AS lat, label, housenumber, round(score, 10) AS score,
+  CASE WHEN housenumber IS NULL THEN type ELSE 'housenumber' END AS type, CASE WHEN housenumber IS NULL THEN name ELSE housenumber || ' ' || name END AS name, postcode, city,
+  CASE WHEN centered THEN CAST(trunc(km * 1000) AS BIGINT) END AS distance FROM fs""")
 def geojson_features(spark, sf_dir):
-    rows = sc.make_labels(sc.match_housenumber(scoring_rows(spark, sf_dir))).where("query_id % 10 = 0")
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.round("d_lon", 4), F.round("d_lat", 4)).alias("coordinates"))
-    return rows.select("query_id", "doc_id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.get("labels", F.lit(0)).alias("label"))).alias("feature"))
+    rows = scored(spark, sf_dir).withColumn("label", F.get("labels", F.lit(0)))
+    out = rows.select("query_id", "doc_id", sinks.feature().alias("feature")).withColumn("f", F.expr(FEATURE))
+    p = F.col("f.properties")
+    return out.select(
+        "query_id", "doc_id", F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"), rounded(F.col("f.geometry.coordinates")[0]).alias("lon"), rounded(F.col("f.geometry.coordinates")[1]).alias("lat"),
+        p["label"].alias("label"), p["housenumber"].alias("housenumber"), rounded(p["score"].cast("double")).alias("score"), p["type"].alias("type"), p["name"].alias("name"), p["postcode"].alias("postcode"), p["city"].alias("city"), p["distance"].cast("long").alias("distance"),
+    )
 
 
 def queries() -> dict:

@@ -51,19 +51,22 @@ def housenumbers_of(doc: Column, config: EngineConfig = EngineConfig()) -> Colum
 
 
 def from_json(lines: DataFrame, config: EngineConfig = EngineConfig(), value: str = "value") -> DataFrame:
-    """JSON strings to normal documents. Lines that are no JSON object, and documents with nested indexed fields, are left out. A missing _id is the hash of the document."""
+    """JSON strings to normal documents, with the lines' arrival column if they have one. Lines that are no JSON object, and documents with nested indexed fields, are left out. A missing _id is the hash of the document."""
     doc = F.col("doc")
-    rows = lines.select(F.trim(F.col(value)).alias("doc")).where(F.try_parse_json("doc").isNotNull() & F.col("doc").startswith("{")).where(~invalid(doc, config))
+    arrival = ["arrival"] if "arrival" in lines.columns else []
+    rows = lines.select(F.trim(F.col(value)).alias("doc"), *arrival).where(F.try_parse_json("doc").isNotNull() & F.col("doc").startswith("{")).where(~invalid(doc, config))
     number = lambda k: F.get_json_object(doc, f"$.{k}").cast("double")
     return rows.select(
         F.coalesce(F.get_json_object(doc, "$._id"), F.substring(F.sha2(doc, 256), 1, 16)).alias("doc_id"), *[_strings(doc, k).alias(k) for k in LISTS],
         F.coalesce(number("importance"), F.lit(0.0)).alias("importance"), number("lat").alias("lat"), number("lon").alias("lon"), number("_score").alias("fixed_score"),
-        housenumbers_of(doc, config).alias("housenumbers"), F.get_json_object(doc, "$._action").alias("action"), doc.alias("doc"),
+        housenumbers_of(doc, config).alias("housenumbers"), F.get_json_object(doc, "$._action").alias("action"), doc.alias("doc"), *arrival,
     )
 
 
 def read_json_lines(spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> DataFrame:
-    return from_json(spark.read.text(path), config)
+    """Lines keep the order of their file, as arrival; files are in order of their paths."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return from_json(spark.read.text(path).select("value", at.alias("arrival")), config)
 
 
 def read_csv(spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), sample_chars: int = 1024) -> DataFrame:
@@ -103,4 +106,5 @@ def read_msgpack(spark: SparkSession, path: str, config: EngineConfig = EngineCo
 
 def read_stdin(spark: SparkSession, lines, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Lines of an iterable, such as sys.stdin."""
-    return from_json(spark.createDataFrame([(x,) for x in lines], T.StructType([T.StructField("value", T.StringType())])), config)
+    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("arrival", T.LongType())])
+    return from_json(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], schema), config)

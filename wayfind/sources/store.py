@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 
 
 def latest(changes: DataFrame, order: str | None = None) -> DataFrame:
-    """The last change of each id. Without an order column, of several changes to one id that with the greatest JSON counts."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc(order or "doc"))
-    return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last change of each id, by the order column, else by arrival where the changes have it, else that with the greatest JSON. arrival is left out of the result."""
+    order = order or ("arrival" if "arrival" in changes.columns else "doc")
+    w = Window.partitionBy("doc_id").orderBy(F.desc(order), F.desc("doc"))
+    return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "arrival")
 
 
 def merge(stored: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """Stored documents after the changes: delete removes, index, update and none put; other actions do nothing."""
+    stored = stored.drop("arrival")
     last = latest(changes, order).where(F.coalesce("action", F.lit("index")).isin("delete", "update", "index"))
     puts = last.where(F.coalesce("action", F.lit("index")) != "delete").select(*stored.columns)
     return stored.join(last.select("doc_id"), "doc_id", "left_anti").select(*stored.columns).unionByName(puts)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that a pattern stands for, is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
 class DocumentStore:
     """A folder of Parquet versions; a change writes the next one, so readers of the last are not disturbed."""
 
@@ -45,7 +53,7 @@ class DocumentStore:
     def apply(self, changes: DataFrame, order: str | None = None) -> DataFrame:
         stored = self.read()
         if stored is None:
-            stored = changes.limit(0)
+            stored = changes.drop("arrival").limit(0)
         at = f"{self.path}/v{len(self.versions()):06d}-{uuid.uuid4().hex[:8]}"
         merge(stored, changes, order).write.option("compression", "zstd").parquet(at)
         return self.read()
