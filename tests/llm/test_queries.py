@@ -61,7 +61,7 @@ def test_quality_estimates(spark):
     x = rng.multivariate_normal([1, 2], [[1, 0.6], [0.6, 2]], 3000)
     x[:500] += [9, -9]
     df = spark.createDataFrame([("g", float(a), float(b)) for a, b in x], "g string, a double, b double")
-    out = quality_rules.robust_distances(df, {"a": 1e-3, "b": 1e-3}, ("g",), Scratch(spark, "test"), steps=8)
+    out = quality_rules.robust_distances(df, {"a": 1e-3, "b": 1e-3}, ("g",), Scratch(spark, "test"))
     d = np.array([(r.a, r.b, r.distance2) for r in out.collect()])
     h = d[np.argsort(d[:, 2])[: math.ceil(0.75 * len(d))], :2]
     q = quality_rules.chi2_quantile(0.75, 2)
@@ -73,6 +73,65 @@ def test_quality_estimates(spark):
     assert far.sum() >= 495 and (d[far][:, 0] > 5).sum() >= 490
 
 
+def brute_mcd(x, floor, rng, share=0.75):
+    """Squared distances from the best of many concentrated random starts, on exact subsets."""
+    import numpy as np
+
+    from wayfind.llm.quality_rules import chi2_cdf, chi2_quantile
+
+    n, p = x.shape
+    h, correction = math.ceil(share * n), share / chi2_cdf(chi2_quantile(share, p), p + 2)
+    fit = lambda own: (own.mean(0), correction * np.cov(own.T, bias=True) + np.diag(floor) ** 2)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for _ in range(40):
+        m, c = fit(x[rng.choice(n, 3 * p, replace=False)])
+        for _ in range(60):
+            new = fit(x[np.argsort(far(m, c), kind="stable")[:h]])
+            done = np.allclose(new[1], c) and np.allclose(new[0], m)
+            m, c = new
+            if done:
+                break
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0]:
+            best = det, far(m, c)
+    return best[1]
+
+
+def test_quality_verdicts_of_full_groups(spark, tmp_path):
+    """The registered query on groups of language and source of their own estimates: its verdicts are those of a brute-force MCD, but for documents at the bar itself."""
+    import random
+
+    import numpy as np
+
+    from wayfind.llm import quality_rules
+
+    rng, rows = random.Random(11), []
+    for g, (lang, source) in enumerate((("en", "a"), ("en", "b"), (None, "a"))):
+        for i in range(260):
+            w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6 + 2 * g))) for _ in range(rng.randint(40, 300))]
+            lines = [" ".join(w[j : j + 12]) for j in range(0, len(w), 12)]
+            if i % 13 == 0:
+                lines = [x + "%" * rng.randint(1, 30) for x in lines]
+            elif i % 13 == 1:
+                lines += rng.choices(lines[:2], k=rng.randint(1, 30))
+            rows.append((1000 * g + i, "\n".join(lines), lang, source, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.op4_quality_rules(spark, str(tmp_path)).collect()}
+    limit, floors = 1.5**2 * quality_rules.chi2_quantile(0.999999, 4), np.array([0.08, 0.06, 0.06, 0.06])
+    checked = rejected = 0
+    for g in range(3):
+        own = [r for i, r in sorted(out.items()) if i // 1000 == g and not r.base_failed]
+        lines = {i: sum(bool(x.split()) for x in t.split("\n")) for i, t, *_ in rows}
+        x = np.array([[math.log((r.word_chars + 100) / (r.n_words + 20)), math.sqrt(r.n_symbols / (r.n_words + 20)), math.sqrt(r.n_dup_lines / (lines[r.doc_id] + 5)), math.sqrt(r.n_repeat_words / (r.n_words + 20))] for r in own])
+        for r, d in zip(own, brute_mcd(x, floors, np.random.default_rng(g))):
+            if abs(d - limit) > 0.15 * limit:
+                checked += 1
+                rejected += d > limit
+                assert r.kept == (d <= limit), (r.doc_id, r.distance2, d)
+    assert checked > 600 and rejected > 20
+
+
 def test_ngram_join(spark, odd, raw):
     sets, links, _, classes = brute_links(raw)
     expected = [(r[0], classes[i], sum(bool(sets[i]) and sets[j] == sets[i] for j in links[i]), len(links[i])) for i, r in enumerate(raw)]

@@ -1,7 +1,8 @@
 """Quality rules: counts of every whole text, a base rule, and robust multivariate outliers per language and source.
 
-Location and scatter are minimum-covariance-determinant estimates, found deterministically: from medians and MADs, then
-by concentration steps, each of which re-estimates from the h documents nearest to the last estimate. All documents take part.
+Location and scatter are minimum-covariance-determinant estimates, found deterministically: from three starts
+by concentration steps, each of which re-estimates from the h documents nearest to the last estimate, until they stand still; the
+estimate of the least determinant counts. All documents take part.
 What a step gathers are sums of powers and a histogram of distances per group, both combined before they move, so that a
 group of any size costs its tasks no more than their own rows.
 """
@@ -101,37 +102,52 @@ def chi2_quantile(q: float, p: int) -> float:
     return high
 
 
-def _group(rows: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
+def _group(rows: DataFrame, by: tuple[str, ...], least: int, scratch: Scratch) -> DataFrame:
     """_g and _in of each combination of by. _g: what its rows are judged by, the combination itself if it has `least` rows, else all rows that share
     its first columns, as many of them as give `least` rows, else all rows of the table. _in: every group in use whose estimate its rows take part in."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    levels = [by[:i] for i in range(len(by), -1, -1)]
+    sizes = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("_n")), "sizes", files=4)
+    levels = [by[:i] for i in range(len(by), 0, -1)]
     name = lambda keys: F.to_json(F.array(*[F.col(c).cast("string") for c in keys])) if keys else F.lit("[]")
-    over = lambda c, keys: c.over(Window.partitionBy(*keys))
-    sizes = sizes.withColumns({f"_n{len(keys)}": over(F.sum("_n"), keys) for keys in levels})
-    sizes = sizes.withColumn("_g", F.coalesce(*[F.when(F.col(f"_n{len(keys)}") >= least, name(keys)) for keys in levels], name(())))
-    used = [F.when(over(F.max(F.col("_g") == name(keys)), keys), name(keys)) for keys in levels]
-    sizes = sizes.withColumns({f"_u{i}": c for i, c in enumerate(used)})
-    return sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_g", F.array_compact(F.array(*[f"_u{i}" for i in range(len(used))])).alias("_in"))
 
+    def with_(df: DataFrame, other: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        other = other.withColumnsRenamed({c: f"_at_{c}" for c in keys})
+        return df.join(other, [df[c].eqNullSafe(other[f"_at_{c}"]) for c in keys], "left").drop(*[f"_at_{c}" for c in keys])
 
-def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str, ...], scratch: Scratch, share: float = 0.75, steps: int = 4, least: int = 200) -> DataFrame:
+    out = sizes
+    for keys in levels:
+        out = with_(out, sizes.groupBy(*keys).agg(F.sum("_n").alias(f"_n{len(keys)}")), keys)
+    out = out.withColumn("_g", F.coalesce(*[F.when(F.col(f"_n{len(keys)}") >= least, name(keys)) for keys in levels], name(())))
+    out = scratch.keep(out, "judged", files=4)
+    rest = out.where(F.col("_g") == name(())).limit(1).count()
+    used = [F.lit("[]") if rest else F.lit(None).cast("string")]
+    for keys in levels:
+        out = with_(out, out.where(F.col("_g") == name(keys)).select(*keys).distinct().withColumn(f"_u{len(keys)}", F.lit(True)), keys)
+        used.append(F.when(F.col(f"_u{len(keys)}"), name(keys)))
+    return out.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_g", F.array_compact(F.array(*used)).alias("_in"))
+
+
+def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str, ...], scratch: Scratch, share: float = 0.75, steps: int = 30, least: int = 200, tolerance: float = 1e-3) -> DataFrame:
     """rows with distance2: the squared Mahalanobis distance from the MCD estimate of their group, or of a wider one where it has under `least` rows.
 
     columns: names with noise floors, whose squares are added to the variances: a statistic that is nearly always the
-    same would else make every deviation an outlier. share: h as a part of the group.
+    same would else make every deviation an outlier. share: h as a part of the group. Three starts (medians and MADs, medians and
+    the scatter of directions from them, means and covariances) concentrate step by step, side by side, until no
+    logarithm of a determinant moves by more than the tolerance, or for `steps` steps; each group keeps the estimate of the least determinant.
     """
     names, p = list(columns), len(columns)
-    groups = _group(rows, by, least)
+    groups = _group(rows, by, least, scratch)
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     rows = scratch.keep(rows.join(groups, same).select(*rows.columns, "_g", "_in"), "grouped")
-    fit = rows.select(F.explode("_in").alias("_g"), *names)
+    once = rows.select(F.explode("_in").alias("_g"), *names)
+    fit = once.withColumn("_s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     floor = np.diag([columns[c] ** 2 for c in names])
     q = chi2_quantile(share, p)
     correction = share / chi2_cdf(q, p + 2)
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
 
     @F.pandas_udf("array<double>")
     def inverse(sums: pd.Series, n: pd.Series) -> pd.Series:
+        """Means, inverse covariances and the logarithm of their determinant, from sums of values and products."""
         out = []
         for s, k in zip(sums, n):
             s = np.asarray(s, dtype=float) / k
@@ -139,42 +155,58 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
             second[np.triu_indices(p)] = s[p:]
             second = np.triu(second) + np.triu(second, 1).T
             cov = correction * (second - np.outer(mean, mean)) + floor
-            out.append(np.concatenate([mean, np.linalg.inv(cov).ravel()]))
+            out.append(np.concatenate([mean, np.linalg.inv(cov).ravel(), [np.linalg.slogdet(cov)[1]]]))
         return pd.Series(out)
 
     def distance(est: Column) -> Column:
         d = [F.col(c) - est[i] for i, c in enumerate(names)]
-        terms = [d[i] * d[j] * est[p + i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)]
+        terms = [d[i] * d[j] * est[p + i * p + j] * (1 if i == j else 2) for i, j in cells]
         return F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))
 
-    # medians and MADs
-    med = scratch.keep(fit.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n")), "medians", files=2)
-    dev = fit.join(med, "_g").select("_g", "_n", *[f"m{i}" for i in range(p)], *[F.abs(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(names)])
-    mad = dev.groupBy("_g").agg(F.first("_n").alias("_n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(f"d{i}", 0.5).alias(f"s{i}") for i in range(p)])
-    cell = lambda i, j: 1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))) if i == j else F.lit(0.0)
-    est = F.array(*[F.col(f"m{i}") for i in range(p)], *[cell(i, j) for i in range(p) for j in range(p)])
-    now = scratch.keep(mad.select("_g", "_n", est.alias("est")), "start", files=2)
+    products = lambda x: [x[i] * x[j] for i, j in cells]
+    # medians and MADs, then the sums of the three starts
+    med = once.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n"))
+    med = scratch.keep(med, "medians", files=2)
+    off = once.join(med, "_g").select("*", *[(F.col(c) - F.col(f"m{i}")).alias(f"o{i}") for i, c in enumerate(names)])
+    mad = off.groupBy("_g").agg(*[F.percentile_approx(F.abs(f"o{i}"), 0.5).alias(f"s{i}") for i in range(p)])
+    mad = scratch.keep(mad.select("_g", *[F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))).alias(f"s{i}") for i in range(p)]), "mads", files=2)
+    z = [F.col(f"o{i}") / F.col(f"s{i}") for i in range(p)]
+    size = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    u = [x / size for x in z]
+    sums = off.join(mad, "_g").groupBy("_g").agg(
+        F.first("_n").alias("_n"), *[F.first(f"{x}{i}").alias(f"{x}{i}") for x in "ms" for i in range(p)],
+        F.array(*[F.sum(x) for x in products(u)]).alias("u"), F.array(*[F.sum(c) for c in names], *[F.sum(x) for x in products([F.col(c) for c in names])]).alias("c"),
+    )
+    m, sd, n = [F.col(f"m{i}") for i in range(p)], [F.col(f"s{i}") for i in range(p)], F.col("_n")
+    plain = F.array(*[n * x for x in m], *[n * (m[i] * m[j] + (sd[i] * sd[i] if i == j else F.lit(0.0))) for i, j in cells])
+    ways = F.array(*[n * x for x in m], *[n * m[i] * m[j] + p * F.col("u")[k] * sd[i] * sd[j] for k, (i, j) in enumerate(cells)])
+    now = sums.select("_g", "_n", F.posexplode(F.array(plain, ways, F.col("c"))).alias("_s", "sums")).select("_g", "_n", "_s", inverse("sums", "_n").alias("est"))
+    now = scratch.keep(now, "start", files=2)
     for step in range(steps):
         # distances fall into 32 bins an octave: the h-th is known up to two hundredths of itself
-        near = fit.join(now, "_g").withColumn("_bin", F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))))
-        bins = near.groupBy("_g", "_bin").agg(F.count("*").alias("k"), F.first("_n").alias("_n"))
-        below = F.sum("k").over(Window.partitionBy("_g").orderBy("_bin")) - F.col("k")
-        cut = bins.withColumn("_b", below).where(F.col("_b") < F.ceil(share * F.col("_n"))).groupBy("_g").agg(F.max("_bin").alias("_cut"))
-        cut = scratch.keep(cut.join(now, "_g"), f"cut{step}", files=2)
-        inside = fit.join(cut, "_g").where(F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6))) <= F.col("_cut"))
-        sums = [F.sum(c) for c in names] + [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(p) for j in range(i, p)]
-        moments = inside.groupBy("_g").agg(F.array(*sums).alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"))
-        now = scratch.keep(moments.select("_g", "_n", inverse("s", "k").alias("est")), f"step{step}", files=2)
-    out = rows.join(now, "_g").withColumn("distance2", distance(F.col("est")))
-    return out.drop("_g", "_in", "_n", "est")
+        bin_ = F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6)))
+        bins = fit.join(now, ["_g", "_s"]).withColumn("_bin", bin_).groupBy("_g", "_s", "_bin").agg(F.count("*").alias("k"), F.first("_n").alias("_n"))
+        below = F.sum("k").over(Window.partitionBy("_g", "_s").orderBy("_bin")) - F.col("k")
+        cut = bins.withColumn("_b", below).where(F.col("_b") < F.ceil(share * F.col("_n"))).groupBy("_g", "_s").agg(F.max("_bin").alias("_cut"))
+        cut = scratch.keep(cut.join(now, ["_g", "_s"]), f"cut{step}", files=2)
+        inside = fit.join(cut, ["_g", "_s"]).where(bin_ <= F.col("_cut"))
+        moments = inside.groupBy("_g", "_s").agg(F.array(*[F.sum(c) for c in names], *[F.sum(x) for x in products([F.col(c) for c in names])]).alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"), F.first("est").getItem(p + p * p).alias("was"))
+        now = scratch.keep(moments.select("_g", "_n", "_s", inverse("s", "k").alias("est"), "was"), f"step{step}", files=2)
+        moved = now.where(F.abs(F.col("est")[p + p * p] - F.col("was")) > tolerance).limit(1).count()
+        now = now.drop("was")
+        if not moved:
+            break
+    best = now.groupBy("_g").agg(F.min_by("est", F.col("est")[p + p * p]).alias("est"))
+    return rows.join(best, "_g").withColumn("distance2", distance(F.col("est"))).drop("_g", "_in", "est")
 
 
 def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min_words: int = 10, max_repeat_percent: int = 20, least: int = 200) -> DataFrame:
     """doc_id, lang, source, _k, _t, COUNTS, base_failed, distance2 and kept of every row.
 
     base_failed: under min_words words, or over max_repeat_percent % of them in repeated windows. Of the others, those
-    are rejected whose squared distance is over `extra` squared times the chi-square quantile of keep_share; the
-    estimates come from all that pass the base rule. Groups of under `least` rows are judged by the
+    are rejected whose squared distance is over `extra` squared times the chi-square quantile of keep_share: the quantile
+    is that of normal statistics, but those of texts have heavier tails, and without `extra` documents of another style would go
+    along with the junk. The estimates come from all that pass the base rule. Groups of under `least` rows are judged by the
     estimate over all rows of their language, and those of languages of under `least` rows by that over all rows. Null texts are empty, null
     languages and sources group like others; rows that repeat count each; an empty table gives no rows; other columns are
     ignored. _k and _t name a row by its id and a digest of its text, language and source.
@@ -193,7 +225,7 @@ def judge(docs: DataFrame, keep_share: float = 0.999999, extra: float = 1.5, min
 
 
 def good_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep."""
+    """The rows of docs that the rules keep, whole and in any number; nulls, ties, repeated rows and empty tables as in judge()."""
     scratch = Scratch(docs.sparkSession, "good", docs)
     gone = scratch.keep(judge(docs, **options).where("not kept").select("_k", "_t").distinct(), "rejected")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *row_key("text", "doc_id", "lang", "source")).join(gone, ["_k", "_t"], "left_anti")
