@@ -92,10 +92,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd", files: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", files: int | None = None, few: int | None = None) -> DataFrame:
+        """df, written and read again, in at most `files` files. few: for tables of few rows, files that a small shuffle of its own fills, so that the steps before keep all their tasks."""
         path = f"{self.root}/{name}"
         with lean(self.spark):
-            write = df.coalesce(min(files or self.files, self.files)).write
+            write = (df.repartition(few) if few else df.coalesce(min(files or self.files, self.files))).write
             write.option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

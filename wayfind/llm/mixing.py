@@ -72,7 +72,7 @@ def tilts(hist: DataFrame, aim: DataFrame, most: float, scratch: Scratch, steps:
     for i in range(rounds):
         for _ in range(steps):
             now = newton(hist, now, most)
-        now = scratch.keep(now, f"tilt{i}", files=4)
+        now = scratch.keep(now, f"tilt{i}", few=4)
         if not now.where("not done").limit(1).count():
             return now
     raise RuntimeError(f"entropy balancing didn't end after {rounds * steps} steps")

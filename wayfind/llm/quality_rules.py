@@ -105,7 +105,7 @@ def chi2_quantile(q: float, p: int) -> float:
 def _group(rows: DataFrame, by: tuple[str, ...], least: int, scratch: Scratch) -> DataFrame:
     """_g and _in of each combination of by. _g: what its rows are judged by, the combination itself if it has `least` rows, else all rows that share
     its first columns, as many of them as give `least` rows, else all rows of the table. _in: every group in use whose estimate its rows take part in."""
-    sizes = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("_n")), "sizes", files=4)
+    sizes = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("_n")), "sizes", few=4)
     levels = [by[:i] for i in range(len(by), 0, -1)]
     name = lambda keys: F.to_json(F.array(*[F.col(c).cast("string") for c in keys])) if keys else F.lit("[]")
 
@@ -117,7 +117,7 @@ def _group(rows: DataFrame, by: tuple[str, ...], least: int, scratch: Scratch) -
     for keys in levels:
         out = with_(out, sizes.groupBy(*keys).agg(F.sum("_n").alias(f"_n{len(keys)}")), keys)
     out = out.withColumn("_g", F.coalesce(*[F.when(F.col(f"_n{len(keys)}") >= least, name(keys)) for keys in levels], name(())))
-    out = scratch.keep(out, "judged", files=4)
+    out = scratch.keep(out, "judged", few=4)
     rest = out.where(F.col("_g") == name(())).limit(1).count()
     used = [F.lit("[]") if rest else F.lit(None).cast("string")]
     for keys in levels:
@@ -126,7 +126,7 @@ def _group(rows: DataFrame, by: tuple[str, ...], least: int, scratch: Scratch) -
     return out.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_g", F.array_compact(F.array(*used)).alias("_in"))
 
 
-def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str, ...], scratch: Scratch, share: float = 0.75, steps: int = 30, least: int = 200, tolerance: float = 1e-3) -> DataFrame:
+def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str, ...], scratch: Scratch, share: float = 0.75, steps: int = 12, least: int = 200, tolerance: float = 0.005) -> DataFrame:
     """rows with distance2: the squared Mahalanobis distance from the MCD estimate of their group, or of a wider one where it has under `least` rows.
 
     columns: names with noise floors, whose squares are added to the variances: a statistic that is nearly always the
@@ -166,10 +166,10 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
     products = lambda x: [x[i] * x[j] for i, j in cells]
     # medians and MADs, then the sums of the three starts
     med = once.groupBy("_g").agg(*[F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(names)], F.count("*").alias("_n"))
-    med = scratch.keep(med, "medians", files=2)
+    med = scratch.keep(med, "medians", few=2)
     off = once.join(med, "_g").select("*", *[(F.col(c) - F.col(f"m{i}")).alias(f"o{i}") for i, c in enumerate(names)])
     mad = off.groupBy("_g").agg(*[F.percentile_approx(F.abs(f"o{i}"), 0.5).alias(f"s{i}") for i in range(p)])
-    mad = scratch.keep(mad.select("_g", *[F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))).alias(f"s{i}") for i in range(p)]), "mads", files=2)
+    mad = scratch.keep(mad.select("_g", *[F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit(float(floor[i, i]))).alias(f"s{i}") for i in range(p)]), "mads", few=2)
     z = [F.col(f"o{i}") / F.col(f"s{i}") for i in range(p)]
     size = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
     u = [x / size for x in z]
@@ -181,17 +181,17 @@ def robust_distances(rows: DataFrame, columns: dict[str, float], by: tuple[str,
     plain = F.array(*[n * x for x in m], *[n * (m[i] * m[j] + (sd[i] * sd[i] if i == j else F.lit(0.0))) for i, j in cells])
     ways = F.array(*[n * x for x in m], *[n * m[i] * m[j] + p * F.col("u")[k] * sd[i] * sd[j] for k, (i, j) in enumerate(cells)])
     now = sums.select("_g", "_n", F.posexplode(F.array(plain, ways, F.col("c"))).alias("_s", "sums")).select("_g", "_n", "_s", inverse("sums", "_n").alias("est"))
-    now = scratch.keep(now, "start", files=2)
+    now = scratch.keep(now, "start", few=2)
     for step in range(steps):
         # distances fall into 32 bins an octave: the h-th is known up to two hundredths of itself
         bin_ = F.floor(32 * F.log2(distance(F.col("est")) + F.lit(1e-6)))
         bins = fit.join(now, ["_g", "_s"]).withColumn("_bin", bin_).groupBy("_g", "_s", "_bin").agg(F.count("*").alias("k"), F.first("_n").alias("_n"))
         below = F.sum("k").over(Window.partitionBy("_g", "_s").orderBy("_bin")) - F.col("k")
         cut = bins.withColumn("_b", below).where(F.col("_b") < F.ceil(share * F.col("_n"))).groupBy("_g", "_s").agg(F.max("_bin").alias("_cut"))
-        cut = scratch.keep(cut.join(now, ["_g", "_s"]), f"cut{step}", files=2)
+        cut = scratch.keep(cut.join(now, ["_g", "_s"]), f"cut{step}", few=2)
         inside = fit.join(cut, ["_g", "_s"]).where(bin_ <= F.col("_cut"))
         moments = inside.groupBy("_g", "_s").agg(F.array(*[F.sum(c) for c in names], *[F.sum(x) for x in products([F.col(c) for c in names])]).alias("s"), F.count("*").alias("k"), F.first("_n").alias("_n"), F.first("est").getItem(p + p * p).alias("was"))
-        now = scratch.keep(moments.select("_g", "_n", "_s", inverse("s", "k").alias("est"), "was"), f"step{step}", files=2)
+        now = scratch.keep(moments.select("_g", "_n", "_s", inverse("s", "k").alias("est"), "was"), f"step{step}", few=2)
         moved = now.where(F.abs(F.col("est")[p + p * p] - F.col("was")) > tolerance).limit(1).count()
         now = now.drop("was")
         if not moved:
