@@ -208,7 +208,32 @@ def test_near_duplicates_with_empty_blocks(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in out.collect()) == [(0, 0, 2), (1, 0, 2), (2, 0, 2), (3, 3, 0)]
 
 
+@pytest.mark.parametrize("block_rows", [4, 20])
+def test_near_duplicates_of_drifting_templates(spark, block_rows, monkeypatch):
+    """A chain in which each text resembles only its neighbours is one group, compared bucket by bucket: far fewer pairs than the group has, all links found, each counted once."""
+    stream = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(stream[3 * i : 3 * i + 60])) for i in range(100)] + [(200, " ".join(stream[30:90]))]
+    sets, links, _, classes = brute_links(rows)
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block_rows).collect()
+    want = {r[0]: (classes[i], len(links[i])) for i, r in enumerate(rows)}
+    assert {r.class_id for r in out} == {0} and sum(r.n_links for r in out) >= 0.998 * sum(n for _, n in want.values())
+    assert all(r.n_links <= want[r.doc_id][1] for r in out)
+
+
+def test_banding_recall(spark):
+    """Of many pairs just above the threshold, in groups of their own, nearly all are found."""
+    rows = []
+    for i in range(1500):
+        w = [f"{i}x{j}" for j in range(64)]
+        rows += [(2 * i, " ".join(w[:58])), (2 * i + 1, " ".join(w[6:]))]  # 48 of 60 5-grams
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.where("n_links = 1").count() >= 2 * 1500 * 0.998
+
+
 def test_banding():
+    assert ngram_join.banding(0.8, 0.9995) == (20, 5) and ngram_join.banding(0.2, 0.9995)[0] > 24
+    with pytest.raises(ValueError, match="no banding"):
+        ngram_join.banding(0.05, 0.99999)
     for recall in (0.9, 0.999, 0.99999):
         bands, rows = ngram_join.banding(0.8, recall)
         assert 1 - (1 - 0.8**rows) ** bands >= recall

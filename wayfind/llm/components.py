@@ -14,9 +14,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     def oriented(df: DataFrame) -> DataFrame:
         return df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, i: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # written, so that both sides of the join are plain shuffles and the edges of a hub can be split
+        least = scratch.keep(least, f"{name}-least{i}", files=1 + before[0] // 250_000)
         return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small(e: DataFrame) -> DataFrame:
@@ -33,8 +35,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         if not before[0]:
             break
         # no step adds edges: files for a quarter of a million each
-        new = scratch.keep(small(oriented(large(now)).distinct()).distinct(), f"{name}-{i}", files=1 + before[0] // 250_000)
-        scratch.drop(f"{name}-{i - 1}")
+        new = scratch.keep(small(oriented(large(now, i)).distinct()).distinct(), f"{name}-{i}", files=1 + before[0] // 250_000)
+        scratch.drop(f"{name}-{i - 1}", f"{name}-least{i}")
         now, after = new, state(new)
         if after == before:
             break

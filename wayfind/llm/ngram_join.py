@@ -6,7 +6,9 @@
 2. Documents of equal sets are one class; only classes meet from here on.
 3. Classes are shuffled on band hashes. Each bucket of two or more gives a star of candidate edges, whose connected
    components are the candidate groups. Most documents are in none and go no further.
-4. Groups' texts move once. Groups are cut into blocks of bounded rows and bytes; pairs of blocks meet in tasks of their own,
+4. A group that fits one task is compared whole. A larger one whose buckets hold fewer pairs than the group itself, as where templates
+   drift and each class resembles but its neighbours, is compared bucket by bucket; a pair counts in the first band that
+   it shares. What is compared is cut into blocks of bounded rows and bytes; pairs of blocks meet in tasks of their own,
    which compare full n-gram sets by products of incidence matrices. A task returns one row per class: its number of
    links and its local root, never the pairs.
 5. Components of the true links, found the same way, are the near-duplicate groups.
@@ -18,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfind.llm.common import Rolling, Scratch, WordHash, carried, hashed_words, mix, row_key, slices, tidy, uncarried
@@ -28,13 +30,15 @@ BASE = 0x2545F4914F6CDD1D
 
 
 def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): of the choices within `most` hashes that reach the recall at the threshold, the one with the fewest chance candidates at half of it."""
+    """(bands, rows): of the choices within `most` hashes that reach the recall at the threshold, the one with the fewest chance candidates at half of it. ValueError if there is none."""
     best = None
     for rows in range(1, 17):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= most and bands <= 24:
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
+        if bands * rows <= most:
             chance = 1 - (1 - (threshold / 2) ** rows) ** bands
             best = min(best or (2, 0, 0), (chance, bands, rows))
+    if best is None:
+        raise ValueError(f"no banding of {most} hashes finds pairs of similarity {threshold} with probability {recall}")
     return best[1], best[2]
 
 
@@ -86,13 +90,13 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 7) -> Dat
 
 
 class Block:
-    """Classes with their n-gram sets."""
+    """Classes with their n-gram sets and band hashes."""
 
-    def __init__(self, c: list[bytes], copies: np.ndarray, sizes: np.ndarray, grams: np.ndarray):
-        self.c, self.copies, self.sizes, self.grams = c, copies, sizes, grams
+    def __init__(self, c: list[bytes], copies: np.ndarray, sizes: np.ndarray, grams: np.ndarray, marks: np.ndarray):
+        self.c, self.copies, self.sizes, self.grams, self.marks = c, copies, sizes, grams, marks
 
     @classmethod
-    def of_texts(cls, c: list[bytes], copies: list[int], texts: list[bytes], n: int) -> Block:
+    def of_texts(cls, c: list[bytes], copies: list[int], texts: list[bytes], marks: list, n: int) -> Block:
         first: dict[bytes, int] = {}
         for i, x in enumerate(c):  # rows that repeat
             first.setdefault(x, i)
@@ -101,7 +105,7 @@ class Block:
         for lo in range(0, len(at), 64):
             h, offsets = _sets([texts[i] for i in at[lo : lo + 64]], n, cache, roll)
             sets += [np.unique(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        return cls(list(first), np.array([copies[i] for i in at], np.int64), np.array([len(x) for x in sets], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)]))
+        return cls(list(first), np.array([copies[i] for i in at], np.int64), np.array([len(x) for x in sets], np.int64), np.concatenate([*sets, np.empty(0, np.uint64)]), np.array([marks[i] for i in at], np.int64))
 
 
 def linked(a: Block, b: Block | None, threshold: float, columns: int = 2048) -> np.ndarray:
@@ -155,8 +159,16 @@ def _roots(match: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
 LINKS = "c binary, links long, root binary"
 
 
-def _rows(a: Block, b: Block | None, threshold: float) -> pa.Table:
+def _rows(a: Block, b: Block | None, threshold: float, bucket: int | None = None) -> pa.Table:
+    """bucket: the band hash that all classes share; pairs that share an earlier band are left to its bucket."""
     match = linked(a, b, threshold)
+    if bucket is not None:
+        i, j = np.nonzero(match)
+        for lo in range(0, len(i), 100_000):
+            x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            left, right = a.marks[x], (a if b is None else b).marks[y]
+            first = (left == right).argmax(axis=1)
+            match[x, y] = left[np.arange(len(x)), first] == bucket
     la, lb = _roots(match, b is None)
     names = a.c + ([] if b is None else b.c)
     got = [(a.c, match @ (a if b is None else b).copies, la)] + ([] if b is None else [(b.c, a.copies @ match, lb)])
@@ -169,7 +181,7 @@ def _rows(a: Block, b: Block | None, threshold: float) -> pa.Table:
     return pa.table({"c": pa.array(c, pa.binary()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.binary())})
 
 
-PACKED = "group binary, block long, blocks long, c array<binary>, copies array<long>, sizes array<long>, grams binary"
+PACKED = "group binary, block long, blocks long, bucket long, c array<binary>, copies array<long>, sizes array<long>, grams binary, marks binary"
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block_rows: int = 1024, block_bytes: int = 6 << 20) -> DataFrame:
@@ -193,34 +205,49 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     candidates = spread.join(buckets, "b").where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v"))
     groups = components(candidates, scratch, "candidates")
     groups = scratch.keep(groups.select(F.col("v").alias("c"), F.col("root").alias("group")).unionByName(groups.select(F.col("root").alias("c"), F.col("root").alias("group")).distinct()), "groups")
-    held = groups.join(classes.select("c", "copies", "_k", "_t", "bytes"), "c")
-    sizes = held.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("bytes") / block_bytes)).alias("blocks"))
-    texts = held.join(sizes, "group").select("group", "blocks", F.pmod(F.xxhash64("c"), "blocks").alias("block"), "c", "copies", "_k", "_t")
+    held = scratch.keep(groups.join(classes.select("c", "copies", "_k", "_t", "bytes", "bands"), "c"), "held")
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / block_rows), F.ceil(size / block_bytes)).cast("long")
+    sizes = scratch.keep(held.groupBy("group").agg(F.count("*").alias("n"), parts(F.count("*"), F.sum("bytes")).alias("blocks")), "sizes")
+    big = held.join(sizes.where("blocks > 1"), "group").select("group", "c", "bytes", "n", F.explode("bands").alias("bucket"))
+    shared = big.groupBy("group", "bucket").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"), F.first("n").alias("n")).where("k > 1")
+    shared = scratch.keep(shared, "buckets")
+    drift = scratch.keep(shared.groupBy("group").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"), F.first("n").alias("n")).where("pairs < double(n) * n").select("group"), "drift")
+    own = ("c", "copies", "_k", "_t", "bands")
+    whole = held.join(sizes, "group").join(drift, "group", "left_anti").select("group", F.lit(None).cast("long").alias("bucket"), "blocks", *own)
+    banded = held.join(drift, "group").withColumn("bucket", F.explode("bands")).join(shared.select("group", "bucket", parts(F.col("k"), F.col("size")).alias("blocks")), ["group", "bucket"])
+    named = F.encode(F.concat(F.hex("group"), F.lit(":"), F.col("bucket").cast("string")), "UTF-8")
+    texts = whole.unionByName(banded.select(named.alias("group"), "bucket", "blocks", *own)).withColumn("block", F.pmod(F.xxhash64("c"), "blocks"))
     texts = docs.select(*row_key(), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(texts, ["_k", "_t"])
 
+    def block_of(t):
+        return Block.of_texts(*(t.column(x).to_pylist() for x in ("c", "copies", "text", "bands")), n)
+
     def alone(key, t):
-        return _rows(Block.of_texts(t.column("c").to_pylist(), t.column("copies").to_pylist(), t.column("text").to_pylist(), n), None, threshold)
+        return _rows(block_of(t), None, threshold, t.column("bucket")[0].as_py())
 
     def packed(key, t):
-        x = Block.of_texts(t.column("c").to_pylist(), t.column("copies").to_pylist(), t.column("text").to_pylist(), n)
-        one = {"group": key[0], "block": key[1], "blocks": t.column("blocks")[0]}
-        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in one.items()}, "c": pa.array([x.c], pa.list_(pa.binary())), "copies": pa.array([x.copies.tolist()], pa.list_(pa.int64())), "sizes": pa.array([x.sizes.tolist()], pa.list_(pa.int64())), "grams": pa.array([x.grams.tobytes()], pa.binary())})
+        x = block_of(t)
+        one = {"group": key[0], "block": key[1], "blocks": t.column("blocks")[0], "bucket": t.column("bucket")[0]}
+        lists = {"c": pa.array([x.c], pa.list_(pa.binary())), "copies": pa.array([x.copies.tolist()], pa.list_(pa.int64())), "sizes": pa.array([x.sizes.tolist()], pa.list_(pa.int64()))}
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in one.items()}, **lists, "grams": pa.array([x.grams.tobytes()], pa.binary()), "marks": pa.array([x.marks.tobytes()], pa.binary())})
 
     def meet(key, left, right):
         if not left.num_rows or not right.num_rows:  # no class fell into one of the blocks
             return pa.table({"c": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
-        a, b = (Block(r["c"], np.array(r["copies"], np.int64), np.array(r["sizes"], np.int64), np.frombuffer(r["grams"], np.uint64)) for r in (left.to_pylist()[0], right.to_pylist()[0]))
-        return _rows(a, None if key[1].as_py() == key[2].as_py() else b, threshold)
+        at = [r.to_pylist()[0] for r in (left, right)]
+        a, b = (Block(r["c"], np.array(r["copies"], np.int64), np.array(r["sizes"], np.int64), np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["marks"], np.int64).reshape(len(r["c"]), -1)) for r in at)
+        return _rows(a, None if key[1].as_py() == key[2].as_py() else b, threshold, at[0]["bucket"])
 
     texts = scratch.keep(texts, "texts")
-    small = texts.where("blocks = 1").groupBy("group").applyInArrow(alone, LINKS)
-    small = scratch.keep(small, "small")
+    small = scratch.keep(texts.where("blocks = 1 and bucket is null").groupBy("group").applyInArrow(alone, LINKS), "small")
+    spread = scratch.keep(texts.where("blocks = 1 and bucket is not null").groupBy("group").applyInArrow(alone, LINKS), "spread")
     blocks = scratch.keep(texts.where("blocks > 1").groupBy("group", "block").applyInArrow(packed, PACKED), "blocks")
     scratch.drop("texts")
     left = blocks.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = blocks.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "block")))
     large = scratch.keep(left.groupBy("group", "i", "j").cogroup(right.groupBy("group", "i", "j")).applyInArrow(meet, LINKS), "large")
     scratch.drop("blocks")
+    large = large.unionByName(spread)  # a class is in many blocks or buckets here, and in one small group
     roots = components(large.select(F.col("c").alias("u"), F.col("root").alias("v")), scratch, "links").select(F.col("v").alias("c"), "root")
     roots = roots.unionByName(small.where("c <> root").select("c", "root"))
     links = small.unionByName(large).groupBy("c").agg(F.sum("links").alias("links"))
@@ -238,14 +265,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs but for near duplicates, of which the row with the least id (then hash of text) stays; of equal rows one."""
+    """The rows of docs but for near duplicates, of which the row with the least id (then digest of text) stays; of rows of one id and text any one. Texts without words all stay; nulls, ties and empty tables as in near_duplicates()."""
     scratch = Scratch(docs.sparkSession, "unique", docs)
     found = scratch.keep(near_duplicates(docs, **options), "classes")
     # texts without words have no links: each stays
-    stays = found.where("n_links > 0").groupBy("root").agg(F.min(F.struct("_k", "_t")).alias("one"))
-    stays = found.where("n_links = 0").select("_k", "_t", F.lit(False).alias("_linked")).unionByName(stays.select("one._k", "one._t", F.lit(True).alias("_linked")))
-    rows = carried(docs).join(stays.distinct(), ["_k", "_t"])
-    # of equal rows the first; only rows of one id and text meet
-    nth = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(0)))
-    rows = rows.withColumn("_nth", nth).where("_nth = 1 or not _linked")
+    first = F.min(F.struct("_k", "_t"))
+    stays = found.where("n_links > 0").groupBy("root").agg(first.alias("one")).select("one._k", "one._t")
+    rest = found.where("n_links = 0").select("_k", "_t").distinct()
+    many = found.groupBy("_k", "_t").agg(F.count("*").alias("_n"))
+    stays = scratch.keep(stays.join(many, ["_k", "_t"]).withColumn("_one", F.col("_n") > 1).unionByName(rest.withColumns({"_n": F.lit(1).cast("long"), "_one": F.lit(False)})), "stays")
+    rows = carried(docs).join(stays, ["_k", "_t"])
+    # of rows that share their key one is taken before they move
+    single = rows.where("_one").groupBy("_k", "_t").agg(F.first("_row").alias("_row"))
+    rows = rows.where("not _one").select("_row").unionByName(single.select("_row"))
     return rows.select(*uncarried(rows, docs))
