@@ -137,7 +137,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = carried(docs).join(total, ["_k", "_t"])
     n = F.expr("_sum div _rows")
     # a row alone takes all; of rows that share their key, those of each written part are numbered after those before it
-    many = scratch.keep(rows.where("_rows > 1").withColumn("_p", F.spark_partition_id()), "many")
+    again = scratch.keep(total.where("_rows > 1"), "again")  # known to be small where it is: docs then need no second shuffle
+    many = scratch.keep(carried(docs).join(again, ["_k", "_t"]).withColumn("_p", F.spark_partition_id()), "many")
     parts = many.groupBy("_k", "_t", "_p").agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy("_k", "_t").orderBy("_p")) - F.col("_c")
     nth = F.row_number().over(Window.partitionBy("_k", "_t", "_p").orderBy(F.xxhash64("_row")))
