@@ -525,12 +525,20 @@ def reverse_nearest(spark, sf_dir):
 
 # search
 
-COLUMNS = ("query_id", "rank", "doc_id", "label", "score")
-
-
 def _search(spark, sf_dir, kind: int | None = None) -> DataFrame:
     out = engine(spark, sf_dir).search(place_queries(spark, sf_dir, kind))
-    return out.select(*COLUMNS[:4], rounded("score").alias("score"))
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "label", rounded("score").alias("score"))
+
+
+#: Searches for one word that at least ten documents hold: its best hundred postings are the candidates, and no later
+#: collector adds to them. Fewer documents would bring in misspellings; the driver's names have no word so like another.
+ONE_WORD_SQL = f"""WITH {POSTINGS_SQL}, w AS (SELECT key AS query_id, lower(string_split(name, ' ')[1]) AS q FROM places), each AS (SELECT DISTINCT q FROM w),
+top AS (SELECT q, doc_id FROM each JOIN postings ON token = q QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(boost, 12) DESC, doc_id DESC) <= 100),
+s AS (SELECT q, doc_id, importance, name || ' ' || postcode || CASE WHEN city = name THEN '' ELSE ' ' || city END AS label, lower(label) AS a, q AS b FROM top JOIN places USING (doc_id)),
+{SIM_SQL.format(a=BIGRAMS.format('a'), b=BIGRAMS.format('b'))}, sc AS (SELECT q, doc_id, label, (importance * 0.1::DOUBLE + {RATIO}) / 1.1::DOUBLE AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM sc)
+SELECT query_id, rank, doc_id, label, round(score, 10) AS score FROM w JOIN r USING (q) WHERE rank <= 10 AND score >= 0.1::DOUBLE"""
+KIND_SQL = {"search_only_commons": ONE_WORD_SQL}
 
 
 def _kind(name: str, kind: int):
@@ -538,7 +546,7 @@ def _kind(name: str, kind: int):
         return _search(spark, sf_dir, kind)
 
     run.__name__ = name
-    _QUERIES[name] = run
+    query(KIND_SQL.get(name))(run)
 
 
 for _name, _number in (("search_meaningful", 0), ("search_fuzzy", 1), ("search_autocomplete", 2), ("search_housenumber", 3), ("search_filtered", 4), ("search_geo_bias", 5), ("search_only_commons", 6), ("search_reduce_tokens", 7)):
@@ -580,8 +588,12 @@ def geojson_features(spark, sf_dir):
 
 
 def queries() -> dict:
+    from wayfind.plans import intake  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from wayfind.plans import intake  # noqa: F401
+
     return dict(_SQL)
