@@ -108,16 +108,25 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(_grams(F.concat(F.lit(" "), text, F.lit(" ")), n))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), value evaluated once, also inside of another lambda, where equal expressions are not shared."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def bigram_similarity(left: Column, right: Column) -> Column:
     """Jaccard similarity of the multisets of bigrams of two folded strings; of two single letters, equality."""
-    a, b = _grams(left, 2), _grams(right, 2)
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.array_intersect(a, b)
-    # where one side repeats no bigram, the common ones are a plain set
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    common = F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda z, x: z + F.least(count(a, x), count(b, x))))
-    ratio = F.when(common == 0, F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
-    return F.when((F.length(left) == 1) & (F.length(right) == 1), (left == right).cast("double")).otherwise(ratio)
+
+    def ratio(g: Column) -> Column:
+        a, b, both = g["a"], g["b"], g["both"]
+        # where one side repeats no bigram, the common ones are a plain set
+        plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+        common = F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda z, x: z + F.least(count(a, x), count(b, x))))
+        return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
+
+    grams = F.struct(_grams(left, 2).alias("a"), _grams(right, 2).alias("b"))
+    shared = once(once(grams, lambda g: F.struct(g["a"], g["b"], F.array_intersect(g["a"], g["b"]).alias("both"))), ratio)
+    return F.when((F.length(left) == 1) & (F.length(right) == 1), (left == right).cast("double")).otherwise(shared)
 
 
 def string_similarity(left: Column, right: Column) -> Column:

@@ -122,6 +122,20 @@ def build(docs: DataFrame, config: EngineConfig = EngineConfig()) -> Index:
     return Index(docs.drop("arrival"), post, stats, pairs(post), edge_ngram_table(stats, config), geo_cells(live, config), filter_table(live, config))
 
 
+def build_at(docs: DataFrame, path: str, config: EngineConfig = EngineConfig()) -> Index:
+    """build and write under path. Sorting a table into ranges looks at its rows twice, so what is made from postings, or from their statistics, comes from the written ones: texts are analyzed for postings alone."""
+    index = build(docs, config)
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        index.write_table(name, df, path)
+        return docs.sparkSession.read.parquet(f"{path}/{name}")
+
+    post = written("postings", index.postings)
+    stats = written("token_stats", token_stats(post))
+    derived = {"pairs": pairs(post), "edge_ngrams": edge_ngram_table(stats, config)}
+    return Index(**{n: post if n == "postings" else stats if n == "token_stats" else written(n, derived.get(n, getattr(index, n))) for n in TABLES})
+
+
 def apply_changes(index: Index, changes: DataFrame, config: EngineConfig = EngineConfig(), order: str | None = None) -> Index:
     """The index after a feed of changes (delete, update, index or none): what changed documents left is removed, what they bring is added, and only the pairs of tokens that lost a document are looked at again."""
     from wayfind.sources.store import latest, merge

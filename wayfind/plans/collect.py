@@ -107,12 +107,22 @@ class Chain:
     # attempts
 
     def answers(self, s: DataFrame) -> DataFrame:
-        """query_id and _r, the answered attempts in order: toks, ids by rank."""
+        """query_id and _r, the answered attempts in order: toks, ids by rank.
+
+        Attempts with the same tokens, filters and cap are answered once for all queries, but for those near a center,
+        which are a query's own. Towns and common words repeat in a batch, and their postings are the long ones.
+        """
         cap = F.greatest(F.col("wanted"), F.lit(self.config.bucket_max))
         a = s.select("query_id", "fl", cap.alias("cap"), F.posexplode("_a").alias("no", "a")).select("query_id", "fl", "cap", "no", "a.toks", "a.geo")
-        hits = retrieve.intersect(self.index, a.where("size(toks) > 0"), self.close, self.most).unionByName(retrieve.without_tokens(self.index, a.where("size(toks) = 0"), self.close))
+        same = F.to_json(F.struct(F.sort_array(F.array_distinct("toks")).alias("toks"), "fl", "cap", F.when(F.col("geo"), F.col("query_id")).alias("near")))
+        a = a.withColumn("_same", same)
+        first = F.min_by(F.struct("query_id", "no", "toks", "geo", "fl", "cap"), F.struct("query_id", "no"))
+        each = a.groupBy("_same").agg(first.alias("x")).select("_same", "x.*")
+        tries = each.drop("_same")
+        hits = retrieve.intersect(self.index, tries.where("size(toks) > 0"), self.close, self.most).unionByName(retrieve.without_tokens(self.index, tries.where("size(toks) = 0"), self.close))
         ids = hits.groupBy("query_id", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-        rows = a.select("query_id", "no", "toks").join(ids, ["query_id", "no"], "left")
+        found = each.select("_same", "query_id", "no").join(ids, ["query_id", "no"]).select("_same", "ids")
+        rows = a.select("query_id", "no", "toks", "_same").join(found, "_same", "left")
         entry = F.struct("no", "toks", F.coalesce("ids", F.array().cast(STRINGS)).alias("ids"))
         return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_r"))
 

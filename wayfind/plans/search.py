@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfind.config import EngineConfig
 from wayfind.operators import retrieve
-from wayfind.operators.index import Index, build
+from wayfind.operators.index import Index, build_at
 from wayfind.operators.score import candidates, closest_housenumber, geo_score, make_labels, score_candidates
 from wayfind.plans.collect import Chain
 
@@ -58,8 +58,7 @@ class Engine:
         spark = docs.sparkSession
         path = path or folder(spark)
         docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/source")
-        build(spark.read.parquet(f"{path}/source"), config).write(path)
-        return cls(Index.read(spark, path), config)
+        return cls(build_at(spark.read.parquet(f"{path}/source"), path, config), config)
 
     def _keep(self):
         at = folder(self.spark)
