@@ -67,3 +67,10 @@ def test_registered_intersections_are_made_once(spark, monkeypatch):
     registered.queries()["zinter_topk"](spark, SMALL)
     registered.queries()["zinter_filtered"](spark, SMALL)
     assert seen[0] <= names and seen[1] <= names * 5
+
+
+def test_postings_are_made_within_documents(spark, index):
+    """No aggregation, so no sort or hash table of all postings in a task."""
+    made = ix.postings(index.documents)
+    assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Aggregate", "Sort", "Exchange"))
+    assert sorted(map(str, made.collect())) == sorted(map(str, index.postings.select(*made.columns).collect()))
