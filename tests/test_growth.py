@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from wayfind.operators import index as ix
 from wayfind.operators import retrieve
 from wayfind.plans import queries as registered
-from wayfind.plans.places import places
+from wayfind.plans.collect import Chain
+from wayfind.plans.places import config_for, places
+from wayfind.plans.search import Engine
 
 
 def most_rows(df):
@@ -74,3 +76,31 @@ def test_postings_are_made_within_documents(spark, index):
     made = ix.postings(index.documents)
     assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Aggregate", "Sort", "Exchange"))
     assert sorted(map(str, made.collect())) == sorted(map(str, index.postings.select(*made.columns).collect()))
+
+
+@pytest.fixture(scope="module")
+def asked(index):
+    """An engine, and four queries, two of them different."""
+    engine = Engine(index, config_for(index.documents.count()))
+    return engine, engine.queries([{"query_id": 9 - i, "q": "small ring" if i % 2 else "hot bolt", "lat": 48.5, "lon": 2.5, "filters": {"type": ["building", "machinery"]}} for i in range(4)])
+
+
+def answers(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.doc_id, r.score, r.label))
+    return out
+
+
+def test_equal_queries_are_answered_once(spark, asked, monkeypatch):
+    engine, queries = asked
+    seen, real = [], Chain.run
+
+    def counted(self, each):
+        seen.append(each.count())
+        return real(self, each)
+
+    monkeypatch.setattr(Chain, "run", counted)
+    got = answers(engine.search(queries))
+    assert seen == [2]
+    assert set(got) == {6, 7, 8, 9} and got[6] == got[8] != got[7] == got[9]
