@@ -104,3 +104,18 @@ def test_equal_queries_are_answered_once(spark, asked, monkeypatch):
     got = answers(engine.search(queries))
     assert seen == [2]
     assert set(got) == {6, 7, 8, 9} and got[6] == got[8] != got[7] == got[9]
+
+
+def test_equal_points_are_answered_once(spark, asked, monkeypatch):
+    engine, _ = asked
+    points = engine.queries([{"query_id": i, "lat": 48.0001 + i % 2 / 997, "lon": 2.0001 + i % 2 * 7919 % 1009 / 1009, "limit": 3} for i in range(6)])
+    seen, real = [], retrieve.near
+
+    def counted(index, queries, *a, **b):
+        seen.append(queries.count())
+        return real(index, queries, *a, **b)
+
+    monkeypatch.setattr(retrieve, "near", counted)
+    got = answers(engine.reverse(points))
+    assert seen[0] == 2
+    assert len(got) == 6 and got[0] == got[2] == got[4] != got[1] == got[3] == got[5]
