@@ -119,3 +119,8 @@ def test_equal_points_are_answered_once(spark, asked, monkeypatch):
     got = answers(engine.reverse(points))
     assert seen[0] == 2
     assert len(got) == 6 and got[0] == got[2] == got[4] != got[1] == got[3] == got[5]
+
+
+def test_long_texts_are_folded_once(spark):
+    plan = registered.queries()["query_too_long"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" {2,}") == 1
