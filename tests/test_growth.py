@@ -124,3 +124,25 @@ def test_equal_points_are_answered_once(spark, asked, monkeypatch):
 def test_long_texts_are_folded_once(spark):
     plan = registered.queries()["query_too_long"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" {2,}") == 1
+
+
+def test_preparation_makes_no_index(spark, monkeypatch):
+    """Places are computed once, and of the index only what preparation asks for."""
+    from wayfind.plans import intake, search
+    from wayfind.plans import places as pl
+
+    calls = []
+
+    def counted(*a):
+        calls.append(a)
+        return places(*a)
+
+    def refuse(*a, **b):
+        raise AssertionError("a table of the index that preparation does not ask for")
+
+    monkeypatch.setattr(search, "build_at", refuse)
+    monkeypatch.setattr(intake, "places", counted)
+    monkeypatch.setattr(pl, "places", counted)
+    for name in ("query_tokens", "query_housenumber"):
+        assert registered.queries()[name](spark, SMALL).count() == places(spark, SMALL).count()
+    assert len(calls) == 2

@@ -198,9 +198,15 @@ SELECT query_id, {words('df <= most', 'df, ord')} AS meaningful, {words('df > mo
 
 
 def prepared(spark: SparkSession, sf_dir: str, kind: int) -> DataFrame:
-    docs = places(spark, sf_dir)
-    engine = Engine.of_documents(docs, config_for(docs.count()), folder(spark))
-    s = Chain(engine.index, engine.config, engine._keep()).prepare(place_queries(spark, sf_dir, kind))
+    """Preparation asks for statistics of tokens and, where there are centers, for cells: nothing else of an index is made."""
+    at = folder(spark)
+    places(spark, sf_dir).write.parquet(f"{at}/source")
+    docs = spark.read.parquet(f"{at}/source")
+    config = config_for(docs.count())
+    index = ix.build(docs, config)
+    index.token_stats.write.parquet(f"{at}/token_stats")
+    engine = Engine(replace(index, token_stats=spark.read.parquet(f"{at}/token_stats")), config)
+    s = Chain(engine.index, config, engine._keep()).prepare(place_queries(spark, sf_dir, kind, docs))
     words = lambda c: F.array_join(F.transform(c, lambda t: t["tok"]), " ")
     lists = [words("meaningful").alias("meaningful"), words("common").alias("common"), words("nof").alias("not_found")]
     return s.select("query_id", *lists, F.col("hn").alias("housenumber"), "last", F.col("least_match").cast("long").alias("least_match"))
