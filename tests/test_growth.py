@@ -146,3 +146,28 @@ def test_preparation_makes_no_index(spark, monkeypatch):
     for name in ("query_tokens", "query_housenumber"):
         assert registered.queries()[name](spark, SMALL).count() == places(spark, SMALL).count()
     assert len(calls) == 2
+
+
+def test_near_centers_no_query_goes_through_postings(spark, index):
+    """Attempts near a center begin at their close documents, of which each query here has two."""
+    attempts = repeated(spark, 300).withColumn("geo", F.lit(True))
+    some = [r.doc_id for r in index.postings.where("token = 'ring'").orderBy("doc_id").limit(2).collect()]
+    close = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, some))).alias("doc_id"))
+    found = retrieve.intersect(index, attempts, close, most=10)
+    assert most_rows(found) <= max(index.postings.count(), 300 * 2 * 2)
+    both = {r.doc_id for r in index.postings.where("token = 'small'").collect()} & {r.doc_id for r in index.postings.where("token = 'ring'").collect()}
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(q, d) for q in range(300) for d in some if d in both}
+
+
+def test_attempts_that_begin_alike_share_their_first_documents(spark, index):
+    """Many attempts of one rare token with all sorts of others: its documents meet only what they hold."""
+    words = [r.token for r in index.token_stats.orderBy("df", "token").collect()]
+    rows = [(q, 0, [words[0], w], False) for q, w in enumerate(words[1:])]
+    fl = F.array().cast("array<array<string>>")
+    attempts = spark.createDataFrame(rows, "query_id long, no int, toks array<string>, geo boolean").select("*", fl.alias("fl"), F.lit(10).alias("cap"))
+    held = {}
+    for r in index.postings.collect():
+        held.setdefault(r.doc_id, set()).add(r.token)
+    got = {(r.query_id, r.doc_id) for r in retrieve.intersect(index, attempts, most=10).collect()}
+    want = {(q, d) for q, _, toks, _ in rows for d, t in held.items() if t >= set(toks)}
+    assert {q for q, _ in got} == {q for q, _ in want} and got <= want
