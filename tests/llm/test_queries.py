@@ -175,6 +175,35 @@ def test_mixing(spark, odd, raw):
         assert abs(n - target) <= 0.001 * target + 2
 
 
+def test_mixing_writes_files_by_its_input(spark, odd, tmp_path, monkeypatch):
+    """However many shuffle partitions there are, the result and the written steps have as many files as the input needs; their rows stay the same."""
+    from wayfind.llm.common import Scratch, file_count
+
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want, files, keep = rows(queries.op10_mixing(spark, odd)), {}, Scratch.keep
+
+    def counted(self, df, name, *a, **b):
+        out = keep(self, df, name, *a, **b)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    most = file_count(queries.table(spark, odd, "documents"))
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        queries.op10_mixing(spark, odd).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(out) == want
+    assert most < 40 and len(out.inputFiles()) <= most and all(n <= most for n in files.values())
+    assert all(files[x] <= -(-most // 3) for x in ("histogram", "named", "sources", "weights"))
+
+
 def lexical(s):
     if len(s) > 40:
         return "{w}"

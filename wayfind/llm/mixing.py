@@ -27,9 +27,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     Resharing ends at min(cap, level * weight). Each round takes the level from one aggregate over the sources and caps those
     above, as many rounds as find any. Sources are numbered in ranges, so that no task has all of them.
     """
-    nth = numbered(sources, [F.col("source").isNull(), F.col("source")], scratch, "sources")
+    nth = numbered(sources, [F.col("source").isNull(), F.col("source")], scratch, "sources", files=scratch.fewer)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_nth") % len(weights) + 1).cast("int"))
-    t = scratch.keep(nth.select("*", w.alias("_w"), (F.col("source_size") * float(most)).alias("_cap")).drop("_nth"), "weights")
+    t = scratch.keep(nth.select("*", w.alias("_w"), (F.col("source_size") * float(most)).alias("_cap")).drop("_nth"), "weights", files=scratch.fewer)
     total = float(t.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
     while True:
@@ -107,9 +107,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     scratch = Scratch(docs.sparkSession, "mixing", docs)
     rows = docs.select("doc_id", "source", *row_key(), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_h"))
     rows = scratch.keep(rows.withColumns({"_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull()}), "rows")
-    hist = scratch.keep(rows.groupBy("_s", "_n", "size").agg(F.count("*").alias("docs")), "histogram")
+    hist = scratch.keep(rows.groupBy("_s", "_n", "size").agg(F.count("*").alias("docs")), "histogram", files=scratch.fewer)
     named = hist.groupBy("_s", "_n").agg(F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("size")).alias("source_size")).withColumn("source", F.when(~F.col("_n"), F.col("_s")))
-    aim = targets(scratch.keep(named, "named"), weights, share, most, scratch)
+    aim = targets(scratch.keep(named, "named", files=scratch.fewer), weights, share, most, scratch)
     tilt = tilts(hist, aim, float(most), scratch).select("_s", "_n", "source_size", "target", "scale", "v")
     solved = hist.join(tilt.hint("shuffle_hash"), ["_s", "_n"]).groupBy("_s", "_n").applyInPandas(lambda pdf: copies_of_sizes(pdf, most), "_s string, _n boolean, size long, docs long, source_size long, target double, total long")
     solved = scratch.keep(solved, "solved")
@@ -126,7 +126,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     nth = F.row_number().over(Window.partitionBy("_s", "_n", "size", "_salt").orderBy("_h", "_k", "_t"))
     copies = F.expr("total div docs") + F.when(nth <= F.col("_odd"), 1).otherwise(0)
     out = joined.join(dealt.hint("merge"), ["_s", "_n", "size", "_salt"]).withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", "source", "_k", "_t", "size", "source_size", "target", "copies")
+    # written with a file a shuffle partition, the result would start several processes for each on some file systems
+    return out.select("doc_id", "source", "_k", "_t", "size", "source_size", "target", "copies").coalesce(scratch.files)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
